@@ -202,17 +202,17 @@ def outcome(field: Column, side: Column, value=None, cause=None, detail=None, al
     )
 
 
-def checked(field: Column, side: Column, c: Column, alternatives=None) -> Column:
-    """Outcome with a value, provided the value passes the evidence gates."""
+def checked(field: Column, side: Column, gated: Column, c: Column, alternatives=None) -> Column:
+    """Outcome with a value, provided the value passes the evidence gates (if gated)."""
     from ladingcheck.operators.ground import machine_failure
 
-    return let(machine_failure(c), lambda failed: F.when(
+    return let(F.when(gated, machine_failure(c)), lambda failed: F.when(
         failed.isNull(), outcome(field, side, value=kept(c), alternatives=alternatives)
     ).otherwise(outcome(field, side, cause=F.lit("UNGROUNDED"),
                         detail=F.concat_ws(" ", failed["gate"], failed["reason"]), alternatives=alternatives)))
 
 
-def resolve_field(field: Column, side: Column, document: Column, own: Column) -> Column:
+def resolve_field(field: Column, side: Column, document: Column, own: Column, gated: Column) -> Column:
     """Reduce one field's candidates to a value or a cause."""
     def text(s):
         return F.lit(s)
@@ -240,12 +240,12 @@ def resolve_field(field: Column, side: Column, document: Column, own: Column) ->
                 outcome(field, side, cause=text("COMPETING_CANDIDATES"),
                         detail=text("a declared total conflicts with another labelled value"),
                         alternatives=usable)
-            ).otherwise(checked(field, side, total, others)))
+            ).otherwise(checked(field, side, gated, total, others)))
             .when(F.exists(usable, lambda c: c["norm_key"] != first["norm_key"]), outcome(
                 field, side, cause=text("COMPETING_CANDIDATES"),
                 detail=text("the document supports more than one value for this field"),
                 alternatives=usable))
-            .otherwise(let(merged, lambda m: checked(field, side, m)))
+            .otherwise(let(merged, lambda m: checked(field, side, gated, m)))
         )
 
     status = F.lower(document["status"])
@@ -267,28 +267,29 @@ def resolve_field(field: Column, side: Column, document: Column, own: Column) ->
     )
 
 
-def extract_side(document: Column, side: Column, policy: Column, registry_convention: Column) -> Column:
+def extract_side(document: Column, side: Column, policy: Column, registry_convention: Column,
+                 gated: Column) -> Column:
     """Seven outcomes, in field order, for one side of a comparison."""
     fields = F.array(*[F.lit(f) for f in K.FIELDS])
 
     def per_field(found):
         return F.transform(fields, lambda f: resolve_field(
-            f, side, document, F.filter(found, lambda c: c["field"] == f)))
+            f, side, document, F.filter(found, lambda c: c["field"] == f), gated))
 
     return let(candidates(document, side, policy, registry_convention), per_field)
 
 
 def _both_sides() -> Column:
     return F.array(
-        F.struct(F.lit("SI").alias("side"), F.col("si_payload").alias("document")),
-        F.struct(F.lit("BL").alias("side"), F.col("bl_payload").alias("document")))
+        F.struct(F.lit("SI").alias("side"), F.col("si_payload").alias("document"), F.col("si_gated").alias("gated")),
+        F.struct(F.lit("BL").alias("side"), F.col("bl_payload").alias("document"), F.col("bl_gated").alias("gated")))
 
 
 @lru_cache(maxsize=None)
 def _outcomes_of_both(policy: str) -> Column:
     # Built once per process: the expression is large and does not depend on data.
     return F.transform(_both_sides(), lambda s: extract_side(
-        s["document"], s["side"], F.lit(policy), F.col("registry_convention")))
+        s["document"], s["side"], F.lit(policy), F.col("registry_convention"), s["gated"]))
 
 
 @lru_cache(maxsize=None)
@@ -297,19 +298,24 @@ def _candidates_of_both(policy: str) -> Column:
         s["document"], s["side"], F.lit(policy), F.col("registry_convention"))))
 
 
+def _gates(roles: DataFrame) -> DataFrame:
+    return roles.withColumns({c: F.lit(True) for c in ("si_gated", "bl_gated") if c not in roles.columns})
+
+
 def extract_sides(roles: DataFrame, policy: str = "auto") -> DataFrame:
     """Adds si_outcomes and bl_outcomes: seven outcomes in field order for each side.
 
-    Needs si_payload, bl_payload and registry_convention.
+    Needs si_payload, bl_payload and registry_convention. A side whose document a
+    person chose (``si_gated`` / ``bl_gated`` false) is not checked a second time.
     """
-    return roles.withColumn("_outcomes", _outcomes_of_both(policy)).withColumns({
+    return _gates(roles).withColumn("_outcomes", _outcomes_of_both(policy)).withColumns({
         "si_outcomes": F.col("_outcomes")[0], "bl_outcomes": F.col("_outcomes")[1],
-    }).drop("_outcomes")
+    }).drop("_outcomes", "si_gated", "bl_gated")
 
 
 def candidate_rows(roles: DataFrame, policy: str = "auto") -> DataFrame:
     """One row per candidate of the chosen documents (key and the candidate's columns)."""
-    return roles.select(*schema.KEY, F.explode(_candidates_of_both(policy)).alias("c")).select(
+    return _gates(roles).select(*schema.KEY, F.explode(_candidates_of_both(policy)).alias("c")).select(
         *schema.KEY, "c.*")
 
 
