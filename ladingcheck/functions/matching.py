@@ -8,18 +8,26 @@ from pyspark.sql import functions as F
 from ladingcheck import constants as K
 
 
+def around_first(text: Column, pattern: str, part: int) -> Column:
+    """What precedes (1), makes up (2) or follows (3) the first match; '' without one.
+
+    ``pattern`` must have no capturing groups. An extraction keeps its compiled
+    pattern from row to row, which a split by a regular expression does not.
+    """
+    return F.regexp_extract(text, rf"\A([\s\S]*?)({pattern})([\s\S]*)\z", part)
+
+
 def before_first(text: Column, pattern: str) -> Column:
     """Text before the first match (the whole text without one)."""
-    return F.split(text, pattern, 2)[0]
+    return F.when(text.rlike(pattern), around_first(text, pattern, 1)).otherwise(text)
 
 
 def quote_around(text: Column, pattern: str, width: int = 40) -> Column:
     """The first match with up to ``width`` characters on either side."""
-    parts = F.split(text, pattern, 2)
     return F.btrim(F.concat(
-        F.right(parts[0], F.lit(width)),
-        F.regexp_extract(text, pattern, 0),
-        F.left(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), F.lit(width)),
+        F.right(around_first(text, pattern, 1), F.lit(width)),
+        around_first(text, pattern, 2),
+        F.left(around_first(text, pattern, 3), F.lit(width)),
     ), F.lit(K.WS_CHARS))
 
 

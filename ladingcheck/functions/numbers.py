@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ladingcheck import constants as K
+from ladingcheck.functions.matching import around_first
 from ladingcheck.functions.text import (
     casefold, fold_digits, fold_quotes, let, nfkc, normalize_party, normalize_port, strip,
 )
@@ -138,9 +139,9 @@ def parse_weight(raw: Column, label_kg: Column, label_tonnes: Column,
                  policy: Column, convention: Column) -> Column:
     """struct(number, unit, unit_from_label, reason, ambiguous); number in kilograms."""
     def parts(text):
-        token = F.regexp_extract(text, K.NUMBER_TOKEN, 0)
-        around = F.split(text, K.NUMBER_TOKEN, 2)
-        rest = strip(F.concat(around[0], F.lit(" "), F.coalesce(F.get(around, F.lit(1)), F.lit(""))))
+        token = around_first(text, K.NUMBER_TOKEN, 2)
+        rest = strip(F.concat(
+            around_first(text, K.NUMBER_TOKEN, 1), F.lit(" "), around_first(text, K.NUMBER_TOKEN, 3)))
         unit = F.regexp_replace(F.regexp_extract(rest, K.UNIT_TOKEN, 0), f"[.{K.WS}]", "")
         return F.struct(
             text.alias("text"), token.alias("token"), casefold(unit).alias("unit"),

@@ -43,15 +43,15 @@ def label_spans(text: Column) -> Column:
     Offsets count code points; ``substring(text, start + 1, end - start)`` is the
     label or the value, always.
     """
-    hits = F.regexp_extract_all(text, F.lit(BLOCK_PATTERN), F.lit(0))
-    gaps = F.split(text, BLOCK_PATTERN, -1)
+    def place(text):
+        # A block starts a line, and no text between blocks holds such a line, so
+        # the next occurrence after the last block is the block itself.
+        def step(acc, hit):
+            start = F.position(F.concat(F.lit("\n"), hit), text, acc["at"] + 1) - 1
+            return F.struct((start + F.length(hit)).alias("at"),
+                            F.concat(acc["starts"], F.array(start)).alias("starts"))
 
-    def place(acc, pair):
-        start = acc["at"] + F.length(pair["gap"])
-        return F.struct(
-            (start + F.length(pair["hit"])).alias("at"),
-            F.concat(acc["starts"], F.array(start)).alias("starts"),
-        )
+        return step
 
     def cut(pair):
         hit, start = pair["hit"], pair["start"]
@@ -66,13 +66,12 @@ def label_spans(text: Column) -> Column:
         )
 
     def build(found):
-        pairs = F.arrays_zip(found["hits"].alias("hit"),
-                             F.slice(found["gaps"], F.lit(1), F.size(found["hits"])).alias("gap"))
         zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-        starts = F.aggregate(pairs, zero, place, lambda acc: acc["starts"])
+        starts = F.aggregate(found["hits"], zero, place(found["text"]), lambda acc: acc["starts"])
         return F.transform(F.arrays_zip(found["hits"].alias("hit"), starts.alias("start")), cut)
 
-    return let(F.struct(hits.alias("hits"), gaps.alias("gaps")), build)
+    hits = F.regexp_extract_all(text, F.lit(BLOCK_PATTERN), F.lit(0))
+    return let(F.struct(hits.alias("hits"), F.concat(F.lit("\n"), text).alias("text")), build)
 
 
 def text_blocks(text: Column) -> Column:

@@ -148,7 +148,7 @@ def timeline(events: DataFrame) -> DataFrame:
     with_before = previous_value(events, ["case_id"], ["at", "event_id"], "at", "previous_at",
                                  F.date_trunc("hour", "at"))
     gap = (F.unix_micros("at") - F.unix_micros("previous_at")) / 1e6
-    return with_before.withColumn("seconds_since", F.round(gap, 3))
+    return with_before.withColumn("seconds_since", F.round(gap, 6))
 
 
 def run_durations(events: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def run_durations(events: DataFrame) -> DataFrame:
         F.min(F.when(F.col("type") == "CASE_CREATED", F.col("at"))).alias("created_at"),
         F.max(F.when(F.col("type") == "CASE_COMPLETED", F.col("at"))).alias("completed_at"))
     return per_run.filter("created_at is not null and completed_at is not null").withColumn(
-        "seconds", F.round((F.unix_micros("completed_at") - F.unix_micros("created_at")) / 1e6, 3))
+        "seconds", F.round((F.unix_micros("completed_at") - F.unix_micros("created_at")) / 1e6, 6))
 
 
 # --- invalid attempts ----------------------------------------------------------------------

@@ -109,6 +109,14 @@ overall AS (
   FROM scored GROUP BY email_id)
 """
 
+_GROUND = _FIELDS + """,
+cand AS (
+  SELECT k % 11 AS t, field, 'SI' AS side, d = 10 AND field = 'notify_party' AS refers, 1 AS c FROM cmp WHERE si_value IS NOT NULL
+  UNION ALL SELECT k % 11, field, 'BL', d = 10 AND field = 'notify_party',
+    CASE WHEN field = 'gross_weight_kg' AND d = 15 THEN 2 ELSE 1 END FROM cmp WHERE bl_value IS NOT NULL
+  UNION ALL SELECT k % 11, field, 'BL', false, 2 FROM cmp WHERE field = 'gross_weight_kg' AND d = 14)
+"""
+
 _DOCS = _CASES + """,
 docs AS (
   SELECT r.*, t.kind, base || t.suffix AS path, substr(base || t.suffix, 13) AS filename,
@@ -157,7 +165,7 @@ marked AS (SELECT *, run_id NOT IN (SELECT run_id FROM cur) AS old FROM runs)
 _LOG = """
 log AS (
   SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS event_id, 'case_' || lpad(CAST(event_id % 500 AS VARCHAR), 4, '0') AS case_id,
-    'case_' || lpad(CAST(event_id % 500 AS VARCHAR), 4, '0') || '_r' || ((event_id // 500) % 2) AS run_id, ts AS at,
+    'case_' || lpad(CAST(event_id % 500 AS VARCHAR), 4, '0') || '_r' || ((event_id // 500) % 2) AS run_id, ts AS moment,
     CASE event_type WHEN 'signup' THEN 'CASE_CREATED' WHEN 'view' THEN 'REVIEW_NOTIFIED' WHEN 'click' THEN 'DECISION_RECEIVED'
       WHEN 'purchase' THEN 'CASE_COMPLETED' ELSE 'PROCESSING_FAILED' END AS type
   FROM events)
@@ -235,9 +243,9 @@ SELECT CASE k % 41 WHEN 1 THEN 'UNSAFE_EMAIL_ID' WHEN 2 THEN 'MISSING_SUBJECT' W
   WHEN 4 THEN 'DUPLICATE_EMAIL_ID' ELSE 'good' END AS problem,
   sum(CASE WHEN k % 41 = 4 THEN 2 ELSE 1 END) AS n FROM res GROUP BY 1"""),
         "s03_decode_text": """
-SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 1) THEN 'utf-8-sig' WHEN doc_id % 4 = 2
-  AND NOT regexp_matches(text, '[ÁÍÏÐÝáíïðýÀ-ÿ€-₿]') THEN 'cp1252' END AS encoding,
-  CASE WHEN doc_id % 4 IN (0, 1) THEN length(text) END AS chars FROM documents""",
+SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 1) THEN 'utf-8-sig' WHEN western THEN 'cp1252' END AS encoding,
+  CASE WHEN doc_id % 4 IN (0, 1) THEN length(text) WHEN western THEN octet_length(encode(text)) + 2 END AS chars
+FROM (SELECT *, doc_id % 4 = 2 AND NOT regexp_matches(hex(encode(text)), '^(..)*(81|8D|8F|90|9D)') AS western FROM documents)""",
         "s04_detect_format": """
 SELECT doc_id, CASE doc_id % 7 WHEN 1 THEN 'pdf' WHEN 2 THEN 'docx' WHEN 3 THEN 'xlsx' WHEN 4 THEN 'unsupported'
   WHEN 5 THEN 'unsupported' WHEN 6 THEN 'unsupported' ELSE 'text' END AS format FROM documents""",
@@ -333,6 +341,17 @@ SELECT email_id AS case_id, workflow_status FROM res WHERE ui_mode IS NOT NULL O
 SELECT email_id AS case_id, CASE WHEN has_files THEN email_id || '_SI.txt' END AS si_filename,
   CASE WHEN has_files AND d NOT IN (6, 7, 13, 17) THEN email_id || '_BL.txt' END AS bl_filename FROM res"""),
         # blocks
+        "b01_label_blocks": _with(_DOCS, """
+SELECT path AS document_id, CASE WHEN kind = 'SI' THEN
+    'Shipper/Exporter|CONSIGNEE|NOTIFY PARTY|Port of Loading|Discharge Port|No. of Containers or Packages|'
+    || CASE WHEN d = 18 THEN 'Gross Weight毛重(KGS)' ELSE 'Gross Weight (KG)' END || '|Booking Ref'
+    || CASE WHEN registry = 'synthetic_demo' THEN '|Cargo Value' ELSE '' END
+  WHEN d = 7 THEN 'Seller|Buyer|Invoice Amount'
+  ELSE 'SHIPPER|Consignee (Non-Negotiable)|Notify Party|Load Port|POD|'
+    || CASE d WHEN 16 THEN 'No. of Containers or Packages' WHEN 18 THEN 'CONTAINER COUNT' ELSE 'Container Count' END || '|'
+    || CASE WHEN d IN (8, 11) THEN 'Gross Wt' WHEN d = 14 THEN 'Gross Wt (kgs)|Gross Weight' WHEN d = 15 THEN 'Gross Wt (kgs)|Total Gross Weight'
+       ELSE 'Gross Wt (kgs)' END || '|B/L No' END AS labels
+FROM docs WHERE present AND NOT (kind = 'BL' AND d = 17)"""),
         "b01_offsets": _with(_DOCS, """
 SELECT sum(CASE WHEN kind = 'SI' THEN 8 + CASE WHEN registry = 'synthetic_demo' THEN 1 ELSE 0 END
   WHEN d = 7 THEN 3 WHEN d IN (14, 15) THEN 9 ELSE 8 END) AS blocks, CAST(0 AS BIGINT) AS wrong
@@ -368,7 +387,7 @@ SELECT email_id, 11 + length(CASE WHEN m = 0 THEN 'Congratulations, you have won
   WHEN m = 2 THEN 'Please find attached shipping instructions for ' || k || '. Kindly prepare the draft.'
   WHEN m = 3 AND (k // 10) % 2 = 0 THEN 'Vessel schedule update for voyage ' || k WHEN m = 3 THEN 'Good morning, noted with thanks.'
   ELSE 'Please compare the SI and draft BL and confirm the shipment details agree.' END) AS current_chars,
-  CASE WHEN k % 3 = 0 THEN 104 ELSE 0 END AS quoted_chars FROM res"""),
+  CASE WHEN k % 3 = 0 THEN 99 ELSE 0 END AS quoted_chars FROM res"""),
         # intent
         "k01_classify": _with(_CASES, """
 SELECT email_id, category, rule_id, 'DETERMINISTIC' AS classified_by, rule_id = 'R-GEN-DEFAULT' AS unresolved FROM res"""),
@@ -502,7 +521,12 @@ SELECT case_id, field, side, cause FROM (SELECT *, row_number() OVER (PARTITION
   UNION ALL SELECT email_id, field, 'BL', bl_cause, place_no, 1 FROM cmp WHERE bl_cause IS NOT NULL)) WHERE rn = 1"""),
         "x07_judge_proposals": _with(_CASES, """
 SELECT 'BL' AS side, 'gross_weight_kg' AS field, CASE WHEN k % 5 = 0 THEN 'EVIDENCE_DISAGREES' WHEN k % 7 = 0 THEN 'DISCLAIMED' END AS rejected,
-  count(*) * 2 AS n FROM res WHERE is_bl AND d = 14 GROUP BY 3"""),
+  count(*) * 2 AS n FROM res WHERE is_bl AND d = 14 GROUP BY 3
+UNION ALL SELECT 'BL', 'container_count', 'NOT_REQUESTED', count(*) FROM res WHERE is_bl AND d = 16"""),
+        "x07_apply_proposals": _with(_CASES, """
+SELECT field, side, assisted, count(*) AS n FROM (
+  SELECT 'gross_weight_kg' AS field, 'BL' AS side, k % 2 <> 0 AND k % 5 <> 0 AND k % 7 <> 0 AS assisted FROM res WHERE is_bl AND d = 14
+  UNION ALL SELECT 'container_count', 'BL', false FROM res WHERE is_bl AND d = 16) GROUP BY ALL"""),
         "x08_field_value": _with(_FIELDS, """
 SELECT side, field, 'DETERMINISTIC' AS resolved_by, 'DOCUMENT_EXTRACTED' AS value_origin, true AS grounded, count(*) AS n FROM (
   SELECT 'SI' AS side, field FROM cmp WHERE si_value IS NOT NULL UNION ALL SELECT 'BL', field FROM cmp WHERE bl_value IS NOT NULL)
@@ -516,12 +540,33 @@ SELECT side, true AS grounded, sum(c) AS n FROM (
 SELECT email_id AS case_id, d NOT IN (3, 5) AND NOT (d = 11 AND kg % 1000 <> 0) AS supported,
   CASE WHEN d IN (3, 5) OR d = 11 AND kg % 1000 <> 0 THEN NULL WHEN d IN (8, 11) THEN 'Gross Wt' ELSE 'Gross Wt (kgs)' END AS label
 FROM res WHERE is_bl AND d NOT IN (6, 7, 13, 17, 19)"""),
+        "g01_check_source": _with(_GROUND, """
+SELECT CASE WHEN t IN (1, 2, 3) THEN 'G1' END AS failed_gate,
+  CASE t WHEN 1 THEN 'QUOTE_MISMATCH' WHEN 2 THEN 'NO_EVIDENCE' WHEN 3 THEN 'NO_BOUND_BLOCK' END AS failure, sum(c) AS n
+FROM cand WHERE NOT (t = 4 AND field = 'shipper') AND NOT (t = 5 AND NOT refers) GROUP BY 1, 2"""),
+        "g02_check_label": _with(_GROUND, """
+SELECT 'LABEL_DOES_NOT_SUPPORT_FIELD' AS failure, sum(c) AS n FROM cand WHERE t = 4 AND field = 'shipper'"""),
+        "g03_check_derivation": _with(_GROUND, """
+SELECT CASE WHEN field LIKE 'port%' THEN 'PORT_DERIVATION_MISMATCH' WHEN field = 'container_count' THEN 'COUNT_MISMATCH'
+  WHEN field = 'gross_weight_kg' THEN 'WEIGHT_MISMATCH' WHEN refers THEN 'REFERENCE_MISMATCH' ELSE 'PARTY_DERIVATION_MISMATCH' END AS failure, sum(c) AS n
+FROM cand WHERE t = 5 AND NOT refers GROUP BY 1"""),
         # comparison
         "c01_values_equal": _with(_FIELDS, """
 SELECT field, count(*) AS n, count(*) FILTER (WHERE si_value = bl_value) AS equal FROM cmp
 WHERE si_value IS NOT NULL AND bl_value IS NOT NULL GROUP BY field"""),
         "c02_compare": _with(_FIELDS, """
 SELECT email_id AS case_id, field, result, public_cause AS not_comparable_cause, private_cause FROM cmp"""),
+        "c03_confidence": _with(_FIELDS, """
+SELECT email_id AS case_id, field, CAST(confidence AS DOUBLE) AS confidence FROM scored"""),
+        "c09_review_text": _with(_FIELDS, """
+SELECT r.email_id AS case_id, CASE WHEN r.ui_mode IS NULL THEN NULL
+    WHEN r.d IN (5, 8, 9) THEN 'What is the gross weight in kg on the BL document?'
+    WHEN r.d = 16 THEN 'What is the container count on the BL document?' WHEN r.d = 14 THEN 'Which value is the gross weight in kg on the BL?'
+    WHEN r.d = 13 THEN 'Which attachment is the BL for this shipment?'
+    ELSE 'This case needs action outside the system. Please acknowledge.' END AS question, coalesce(w.mismatches, '') AS mismatches
+FROM res r LEFT JOIN (SELECT email_id, string_agg(CASE field WHEN 'gross_weight_kg' THEN 'gross weight in kg' ELSE replace(field, '_', ' ') END
+  || ': SI ' || si_value || ', BL ' || bl_value, '; ' ORDER BY place_no) AS mismatches FROM cmp WHERE result = 'MISMATCH' GROUP BY 1) w
+  ON r.email_id = w.email_id WHERE r.status = 'MISMATCH' OR r.ui_mode IS NOT NULL"""),
         "c04_document_reason": _with(_CASES, """
 SELECT CASE WHEN d IN (6, 19) THEN 'missing_attachment' WHEN d IN (7, 13) THEN 'wrong_doc_type' WHEN d = 17 THEN 'unreadable' END AS reason,
   count(*) AS n FROM res WHERE is_bl GROUP BY 1"""),
@@ -547,10 +592,11 @@ SELECT event_id, action, error_code, coalesce(error_code IS NULL AND action = 'A
   CASE WHEN error_code IS NULL AND event_type = 'signup' THEN 'MANUAL_OVERRIDE'
     WHEN error_code IS NULL AND (action = 'PROVIDE_VALUE' OR d = 14 AND action = 'SELECT_OPTION') THEN 'DOCUMENT_CONFIRMED' END AS value_origin,
   coalesce(error_code IS NULL AND event_type <> 'signup' AND (action = 'PROVIDE_VALUE' OR d = 14 AND action = 'SELECT_OPTION'), false) AS grounded,
-  CASE WHEN k IS NULL THEN NULL WHEN action = 'PROVIDE_VALUE' AND ui_mode = 'VALUE_INPUT' AND event_type <> 'error' THEN CAST(typed AS VARCHAR)
+  CASE WHEN error_code IS NOT NULL THEN NULL WHEN action = 'PROVIDE_VALUE' THEN CAST(typed AS VARCHAR)
     WHEN action = 'SELECT_OPTION' AND d = 14 AND option_id = 'val_1' THEN CAST(kg AS VARCHAR) END AS norm_key FROM judged"""),
         "d02_check_confirmation": _with(_EVENTS, """
-SELECT error_code, count(*) AS n FROM judged WHERE event_type = 'signup' AND ui_mode = 'VALUE_INPUT' GROUP BY 1"""),
+SELECT error_code, count(*) AS n FROM judged WHERE event_type = 'signup'
+  AND (error_code IS NULL OR error_code = 'INVALID_CONFIRMATION') GROUP BY 1"""),
         "d03_first_accepted_wins": _with(_EVENTS, "SELECT event_id, k, action FROM won"),
         "d04_budget_ledger": """
 WITH d AS (SELECT 'run_' || lpad(CAST(event_id % 50 AS VARCHAR), 2, '0') AS run_id, event_id AS sequence,
@@ -591,8 +637,8 @@ UNION ALL SELECT 'job/' || CASE WHEN quantity % 2 <> 0 THEN 'COMPLETED' WHEN old
 UNION ALL SELECT 'decision/' || CASE WHEN quantity % 3 = 0 THEN 'applied' ELSE 'open' END, count(*) FROM marked WHERE NOT (old AND quantity % 3 <> 0) GROUP BY 1"""),
         "d10_run_guard": _with(_RUNS, "SELECT count(*) AS n, count(DISTINCT case_id) AS ids FROM cur"),
         "d11_run_identity": _with(_RUNS, """
-, last AS (SELECT case_id, arg_max(quantity, run_id) AS q FROM runs GROUP BY case_id)
-SELECT CASE WHEN quantity % 11 = 0 THEN 'RUN_STATE_UNAVAILABLE' WHEN quantity % 5 <> q % 5 OR quantity % 7 = 0 THEN 'RUN_IDENTITY_CHANGED' END AS problem,
+, last AS (SELECT case_id, max(quantity % 5) AS q FROM runs GROUP BY case_id)
+SELECT CASE WHEN quantity % 11 = 0 THEN 'RUN_STATE_UNAVAILABLE' WHEN quantity % 5 <> q OR quantity % 7 = 0 THEN 'RUN_IDENTITY_CHANGED' END AS problem,
   count(*) AS n FROM runs JOIN last USING (case_id) GROUP BY 1"""),
         "d12_job_outcomes": """
 WITH a AS (SELECT 'job_' || lpad(CAST(event_id // 3 AS VARCHAR), 8, '0') AS job_id, ts,
@@ -608,14 +654,14 @@ SELECT outcome, count(*) AS ids, sum(CASE WHEN outcome = 'created' THEN 1 ELSE 0
   sum(CASE outcome WHEN 'existing' THEN asked WHEN 'created' THEN asked - 1 ELSE 0 END) AS existing FROM x GROUP BY 1""",
         "d14_idempotent_create": _with(_RUNS, "SELECT count(DISTINCT case_id) AS n FROM runs WHERE case_id NOT LIKE '%5'"),
         "d15_case_state": _with(_LOG, """
-, starts AS (SELECT case_id, arg_max(run_id, (at, event_id)) AS run_id FROM log WHERE type = 'CASE_CREATED' GROUP BY case_id)
-SELECT case_id, run_id, CASE arg_max(type, (at, event_id)) WHEN 'CASE_CREATED' THEN 'PROCESSING' WHEN 'DECISION_RECEIVED' THEN 'PROCESSING'
+, starts AS (SELECT case_id, arg_max(run_id, (moment, event_id)) AS run_id FROM log WHERE type = 'CASE_CREATED' GROUP BY case_id)
+SELECT case_id, run_id, CASE arg_max(type, (moment, event_id)) WHEN 'CASE_CREATED' THEN 'PROCESSING' WHEN 'DECISION_RECEIVED' THEN 'PROCESSING'
   WHEN 'REVIEW_NOTIFIED' THEN 'AWAITING_HUMAN' WHEN 'PROCESSING_FAILED' THEN 'FAILED' ELSE 'COMPLETED' END AS status
 FROM log JOIN starts USING (case_id, run_id) GROUP BY case_id, run_id"""),
         "d16_timeline": _with(_LOG, """
-SELECT event_id, case_id, round((epoch_us(at) - epoch_us(lag(at) OVER (PARTITION BY case_id ORDER BY at, event_id))) / 1e6, 3) AS seconds_since FROM log"""),
+SELECT event_id, case_id, round((epoch_us(moment) - epoch_us(lag(moment) OVER (PARTITION BY case_id ORDER BY moment, event_id))) / 1e6, 6) AS seconds_since FROM log"""),
         "d16_run_durations": _with(_LOG, """
-SELECT case_id, run_id, round((epoch_us(max(at) FILTER (WHERE type = 'CASE_COMPLETED')) - epoch_us(min(at) FILTER (WHERE type = 'CASE_CREATED'))) / 1e6, 3) AS seconds
+SELECT case_id, run_id, round((epoch_us(max(moment) FILTER (WHERE type = 'CASE_COMPLETED')) - epoch_us(min(moment) FILTER (WHERE type = 'CASE_CREATED'))) / 1e6, 6) AS seconds
 FROM log GROUP BY 1, 2 HAVING count(*) FILTER (WHERE type = 'CASE_COMPLETED') > 0 AND count(*) FILTER (WHERE type = 'CASE_CREATED') > 0"""),
         "d17_invalid_burst": """
 WITH a AS (SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS attempt_id, user_id % 10 AS actor, epoch_ms(ts) // 2000 AS at_ms, event_type <> 'view' AS invalid FROM events)
@@ -688,6 +734,20 @@ SELECT kind, value, count(*) AS n FROM (
 SELECT CAST(user_id % 100 AS VARCHAR) AS run_id, count(*) FILTER (WHERE event_type <> 'view') AS ai_calls, count(*) FILTER (WHERE event_type = 'view') AS cache_hits,
   count(DISTINCT CASE WHEN event_type = 'click' THEN (event_id % 7) * 2 + event_id % 2 END) AS ai_assisted_fields,
   CASE WHEN (user_id % 100) % 2 = 0 THEN CAST(count(*) AS DOUBLE) END AS est_cost FROM events GROUP BY user_id % 100""",
+        "a08_label_profile": _with(_DOCS, """
+, l AS (SELECT unnest(string_split(CASE WHEN kind = 'SI' THEN
+    'Shipper/Exporter|CONSIGNEE|NOTIFY PARTY|Port of Loading|Discharge Port|No. of Containers or Packages|'
+    || CASE WHEN d = 18 THEN 'Gross Weight毛重(KGS)' ELSE 'Gross Weight (KG)' END || '|Booking Ref'
+    || CASE WHEN registry = 'synthetic_demo' THEN '|Cargo Value' ELSE '' END
+  WHEN d = 7 THEN 'Seller|Buyer|Invoice Amount'
+  ELSE 'SHIPPER|Consignee (Non-Negotiable)|Notify Party|Load Port|POD|'
+    || CASE d WHEN 16 THEN 'No. of Containers or Packages' WHEN 18 THEN 'CONTAINER COUNT' ELSE 'Container Count' END || '|'
+    || CASE WHEN d IN (8, 11) THEN 'Gross Wt' WHEN d = 14 THEN 'Gross Wt (kgs)|Gross Weight' WHEN d = 15 THEN 'Gross Wt (kgs)|Total Gross Weight'
+       ELSE 'Gross Wt (kgs)' END || '|B/L No' END, '|')) AS label FROM docs WHERE present AND NOT (kind = 'BL' AND d = 17))
+SELECT label, count(*) AS n, lower(label) AS normalized, CASE
+  WHEN lower(label) LIKE 'shipper%' THEN 'shipper' WHEN lower(label) LIKE 'consignee%' THEN 'consignee' WHEN lower(label) LIKE 'notify%' THEN 'notify_party'
+  WHEN label IN ('Port of Loading', 'Load Port') THEN 'port_of_loading' WHEN label IN ('Discharge Port', 'POD') THEN 'port_of_discharge'
+  WHEN lower(label) LIKE '%container%' THEN 'container_count' WHEN lower(label) LIKE '%gross%' THEN 'gross_weight_kg' END AS field FROM l GROUP BY label"""),
         # scores
         "e01_confusion": _with(_SCORES, "SELECT t_category AS actual, predicted, count(*) AS n FROM pairs GROUP BY 1, 2"),
         "e02_prf": _with(_SCORES, "SELECT category, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1 FROM prf"),

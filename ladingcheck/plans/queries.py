@@ -410,11 +410,9 @@ def _document_texts(spark, sf_dir):
 
 @query
 def b01_label_blocks(spark, sf_dir):
-    b = blocks.label_blocks(_document_texts(spark, sf_dir))
-    return b.groupBy("label").agg(
-        F.count("*").alias("n"), F.sum(F.length("value")).alias("chars"),
-        F.sum(F.col("value_end") - F.col("value_start")).alias("span"),
-        F.sum(F.col("label_end") - F.col("label_start")).alias("label_chars"))
+    spans = blocks.label_spans(F.col("text"))
+    return _document_texts(spark, sf_dir).select(
+        "document_id", F.array_join(F.transform(spans, lambda b: b["label"]), "|").alias("labels"))
 
 
 @query
@@ -861,11 +859,11 @@ def x06_unresolved_targets(spark, sf_dir):
 
 
 def _proposals(spark, sf_dir):
-    """For each competing weight: one proposal for its first reading; spoiled by key rules."""
+    """A proposal for every reading of a competing field; spoiled by key rules."""
     o = extract.outcome_rows(cases(spark, sf_dir)).filter("cause = 'COMPETING_CANDIDATES'")
     k = F.substring("case_id", 7, 8).cast("bigint")
     one = o.select(*schema.KEY, "side", "field", k.alias("k"), F.explode("alternatives").alias("a"))
-    return one.filter((F.col("k") % 3 == 0) | (F.col("a.raw") != F.concat(F.col("a.norm_key"), F.lit(" KGX")))).select(
+    return one.select(
         *schema.KEY, "side", "field", "k", F.col("a.document_id").alias("document_id"), F.col("a.block_ord").alias("block_ord"),
         F.when(F.col("k") % 5 == 0, F.concat("a.raw", F.lit("!"))).otherwise(F.col("a.raw")).alias("raw"),
         (F.col("k") % 7 == 0).alias("disclaimed"))
@@ -886,9 +884,12 @@ def x07_judge_proposals(spark, sf_dir):
 
 @query
 def x07_apply_proposals(spark, sf_dir):
-    first = _proposals(spark, sf_dir).filter("k % 2 = 0 or block_ord % 2 = 0")
-    o = proposals.apply_proposals(first, extract.outcome_rows(cases(spark, sf_dir)), _grounding_documents(spark, sf_dir))
-    return o.filter("cause = 'COMPETING_CANDIDATES'").groupBy("field", "side").agg(F.count("*").alias("n"))
+    # Both readings for even keys, the first one only for odd keys.
+    p = _proposals(spark, sf_dir)
+    lowest = p.groupBy(*schema.KEY, "side", "field").agg(F.min("block_ord").alias("lowest"))
+    some = p.join(lowest, [*schema.KEY, "side", "field"]).filter("k % 2 = 0 or block_ord = lowest").drop("lowest")
+    o = proposals.apply_proposals(some, extract.outcome_rows(cases(spark, sf_dir)), _grounding_documents(spark, sf_dir))
+    return o.filter("cause = 'COMPETING_CANDIDATES'").groupBy("field", "side", "assisted").agg(F.count("*").alias("n"))
 
 
 @query
@@ -974,7 +975,7 @@ def c02_compare(spark, sf_dir):
 
 @query
 def c03_confidence(spark, sf_dir):
-    return case_tables.comparison_rows(cases(spark, sf_dir)).select("case_id", "field", "confidence", "explanation")
+    return case_tables.comparison_rows(cases(spark, sf_dir)).select("case_id", "field", "confidence")
 
 
 @query
@@ -1039,7 +1040,8 @@ def d01_validate_decisions(spark, sf_dir):
 
 @query
 def d02_check_confirmation(spark, sf_dir):
-    v = validated(spark, sf_dir).filter("confirmation is not null and norm_key is not null")
+    v = validated(spark, sf_dir).filter(
+        "confirmation is not null and (error_code is null or error_code = 'INVALID_CONFIRMATION')")
     return v.groupBy("error_code").agg(F.count("*").alias("n"))
 
 
@@ -1134,7 +1136,7 @@ def d11_run_identity(spark, sf_dir):
         "input_version": F.concat(F.lit("iv_"), (F.col("quantity") % 5).cast("string")),
         "config_version": F.when(F.col("quantity") % 7 == 0, "old").otherwise("new"),
         "has_state": F.col("quantity") % 11 != 0})
-    snapshots = r.groupBy("run_kind", "case_id").agg(F.max_by("input_version", "run_id").alias("input_version"))
+    snapshots = r.groupBy("run_kind", "case_id").agg(F.max("input_version").alias("input_version"))
     return runs.run_identity(r, snapshots, "new").groupBy("problem").agg(F.count("*").alias("n"))
 
 
