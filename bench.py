@@ -22,6 +22,8 @@ def session() -> SparkSession:
         SparkSession.builder.master(f"local[{CPUS}]").appName("bench")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "20g").config("spark.sql.shuffle.partitions", str(4 * int(CPUS)))
+        # Tasks here are bound by CPU, not by bytes: keep all shuffle partitions.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
