@@ -310,15 +310,19 @@ def grid_status(cells: DataFrame) -> DataFrame:
 
 def role_scores(text: Column) -> Column:
     """struct(si, bl, other): how strongly the content supports each document type."""
-    def score(t, head):
-        hits = matching.count_not_negated
+    def score(t, head, form):
+        def hits(c, pattern):
+            return matching.count_not_negated(c, form(pattern))
+
         return F.struct(
             (3.0 * hits(head, K.SI_HEADING) + hits(t, K.SI_HEADING) + 0.5 * hits(t, K.SI_BODY)).alias("si"),
             (3.0 * hits(head, K.BL_HEADING) + hits(t, K.BL_HEADING) + 0.5 * hits(t, K.BL_BODY)).alias("bl"),
             (4.0 * hits(head, K.OTHER_HEADING) + hits(t, K.OTHER_HEADING)).cast("double").alias("other"),
         )
 
-    return let(text, lambda t: let(heading(t), lambda head: score(t, head)))
+    return let(text, lambda t: let(heading(t), lambda head: F.when(
+        matching.is_plain(t), score(t, head, matching.plain_form)
+    ).otherwise(score(t, head, lambda pattern: pattern))))
 
 
 def with_fields(blocks: Column) -> Column:

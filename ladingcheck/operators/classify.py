@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ladingcheck import constants as K
-from ladingcheck.functions.matching import before_first, quote_around
+from ladingcheck.functions.matching import before_first, found, is_plain, plain_form, quote_around
 from ladingcheck.functions.text import line_ends, lookup, strip
 
 # rule -> (pattern, text it is searched in); order decides.
@@ -30,12 +30,18 @@ def quote_view(emails: DataFrame) -> DataFrame:
     Banners go, and so does everything from the signature on.
     """
     body = line_ends(F.coalesce("body", F.lit("")))
-    staged = emails.withColumn("_body", body)
-    before = before_first(F.col("_body"), K.QUOTE_BOUNDARY)
+    staged = emails.withColumn("_body", body).withColumn("_ascii", is_plain(F.col("_body")))
+
+    def start(c, pattern):
+        return F.when(F.col("_ascii"), before_first(c, plain_form(pattern))).otherwise(before_first(c, pattern))
+
+    before = start(F.col("_body"), K.QUOTE_BOUNDARY)
     staged = staged.withColumn("_before", before)
     staged = staged.withColumn("_current", F.when(F.col("_before") == "", F.col("_body")).otherwise(F.col("_before")))
-    staged = staged.withColumn("_clean", F.regexp_replace("_current", K.BANNER, ""))
-    staged = staged.withColumn("_unsigned", before_first(F.col("_clean"), K.SIGNATURE))
+    staged = staged.withColumn("_clean", F.when(
+        F.col("_ascii"), F.regexp_replace("_current", plain_form(K.BANNER), "")
+    ).otherwise(F.regexp_replace("_current", K.BANNER, "")))
+    staged = staged.withColumn("_unsigned", start(F.col("_clean"), K.SIGNATURE))
     kept = (
         F.when(strip(F.col("_unsigned")) != "", F.col("_unsigned"))
         .when(strip(F.col("_clean")) != "", F.col("_clean"))
@@ -48,17 +54,19 @@ def quote_view(emails: DataFrame) -> DataFrame:
         "subject_text": strip(F.coalesce("subject", F.lit(""))),
     }).withColumn(
         "intent_text", F.concat_ws("\n", "subject_text", "current_message")
-    ).drop("_body", "_before", "_current", "_clean", "_unsigned")
+    ).drop("_body", "_before", "_current", "_clean", "_unsigned", "_ascii")
 
 
 def _rule_id() -> Column:
+    plain = F.col("_plain")
     extra = {
-        "R-CMP-2": lambda: F.col("intent_text").rlike(K.SI_MENTION) & F.col("intent_text").rlike(K.BL_MENTION),
-        "R-SI-2": lambda: F.col("intent_text").rlike(K.SI_MENTION),
+        "R-CMP-2": lambda: found(F.col("intent_text"), K.SI_MENTION, plain)
+        & found(F.col("intent_text"), K.BL_MENTION, plain),
+        "R-SI-2": lambda: found(F.col("intent_text"), K.SI_MENTION, plain),
     }
     chain = None
     for rule, pattern, source in _RULE_TESTS:
-        test = F.col(source).rlike(pattern)
+        test = found(F.col(source), pattern, plain)
         if rule in extra:
             test = test & extra[rule]()
         chain = F.when(test, rule) if chain is None else chain.when(test, rule)
@@ -79,14 +87,14 @@ def classify_rules(viewed: DataFrame) -> DataFrame:
 
     All are NULL (unresolved true) where no rule fires.
     """
-    with_rule = viewed.withColumn("rule_id", _rule_id())
+    with_rule = viewed.withColumn("_plain", is_plain(F.col("intent_text"))).withColumn("rule_id", _rule_id())
     return with_rule.withColumns({
         "category": lookup({r: c for r, (c, _) in K.RULES.items()}, F.col("rule_id")),
         "classified_by": F.when(F.col("rule_id").isNotNull(), "DETERMINISTIC"),
         "classification_reason": lookup({r: t for r, (_, t) in K.RULES.items()}, F.col("rule_id")),
         "unresolved": F.coalesce(F.col("rule_id") == "R-SI-3", F.lit(True)),
         "evidence_quote": _quote(),
-    })
+    }).drop("_plain")
 
 
 def classify(emails: DataFrame) -> DataFrame:

@@ -170,16 +170,14 @@ def resolve_references(candidates: Column) -> Column:
 
 
 def candidates(document: Column, side: Column, policy: Column, registry_convention: Column) -> Column:
-    """All candidates a payload document supports, in block order."""
+    """All candidates a payload document supports, in the order of its blocks."""
     convention = F.when(document["convention"] != "", document["convention"]).otherwise(
         F.coalesce(registry_convention, F.lit("")))
     read = F.transform(
         document["blocks"],
         lambda b: read_block(b, side, document["document_id"], policy, convention))
     usable = document.isNotNull() & (document["status"] == "OK")
-    return F.when(usable, let(F.array_sort(read, lambda a, b: F.when(a["block_ord"] < b["block_ord"], -1)
-                                           .when(a["block_ord"] > b["block_ord"], 1).otherwise(0)),
-                              resolve_references)).otherwise(no_candidates())
+    return F.when(usable, let(read, resolve_references)).otherwise(no_candidates())
 
 
 def quoted(c: Column) -> Column:
