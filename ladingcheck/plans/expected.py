@@ -669,7 +669,7 @@ SELECT attempt_id, n AS invalid_before, n >= 12 AS burst FROM (SELECT attempt_id
   coalesce(sum(CASE WHEN invalid THEN 1 ELSE 0 END) OVER (PARTITION BY actor ORDER BY at_ms RANGE BETWEEN 59999 PRECEDING AND 1 PRECEDING), 0) AS n FROM a)""",
         "d18_mark_notified": _with(_RUNS, """
 SELECT CASE WHEN quantity % 4 = 0 THEN 'CLOSED' ELSE 'OPEN' END AS status,
-  CASE WHEN quantity % 4 <> 0 AND NOT old THEN TIMESTAMP '2023-11-14 22:13:20' END AS notified_at, count(*) AS n FROM marked GROUP BY 1, 2"""),
+  CASE WHEN quantity % 4 <> 0 AND NOT old THEN CAST(1700000000 AS BIGINT) END AS notified_at, count(*) AS n FROM marked GROUP BY 1, 2"""),
         "d19_backlog": """
 SELECT CAST(user_id AS VARCHAR) AS recipient, count(DISTINCT event_type || '|' || (event_id % 40)) AS waiting,
   count(DISTINCT event_type || '|' || (event_id % 40)) > 3 AS digest FROM events WHERE event_type <> 'purchase' GROUP BY 1""",

@@ -54,7 +54,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shipments.emails(facts(spark, sf_dir))
+    return shipments.inbox(spark, sf_dir)[0]
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1212,7 +1212,8 @@ def d18_mark_notified(spark, sf_dir):
                        F.lit(None).cast("timestamp").alias("notified_at"))
     notices = reviews.crossJoin(F.broadcast(spark.range(2))).select(
         "review_id", "run_id", F.timestamp_seconds(F.lit(1700000000) + F.col("id")).alias("at"))
-    return runs.mark_notified(reviews, notices, r).groupBy("status", "notified_at").agg(F.count("*").alias("n"))
+    return runs.mark_notified(reviews, notices, r).groupBy(
+        "status", F.unix_timestamp("notified_at").alias("notified_at")).agg(F.count("*").alias("n"))
 
 
 @query
