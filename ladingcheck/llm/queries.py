@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ladingcheck.llm import ngram_jaccard
+from ladingcheck.llm import cover_tree, line_dedup, mixing, ngram_jaccard, url_filter
 from ladingcheck.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,10 +38,118 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS
 """
 
 
-QUERIES: dict[str, Query] = {
-    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
-}
+def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"), budget_share=1.0, max_repeats=4.0)
+    return out.withColumn("weight", F.round("weight", 9))
+
+
+OP3_SQL = """
+WITH d AS MATERIALIZED (
+  SELECT doc_id, source, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents
+  WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+k AS MATERIALIZED (SELECT * FROM d WHERE n_tokens > 0),
+s AS MATERIALIZED (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM k GROUP BY source),
+t AS MATERIALIZED (SELECT sum(tokens)::BIGINT AS total FROM s),
+grid AS MATERIALIZED (
+  SELECT g.k, max(pow(s.tokens / t.total::DOUBLE, g.k / 1048576.0) / s.tokens) * t.total::DOUBLE
+    / sum(pow(s.tokens / t.total::DOUBLE, g.k / 1048576.0)) <= 4.0 AS holds
+  FROM (SELECT unnest(range(0, 1048576, 64)) AS k) g, s, t GROUP BY g.k, t.total),
+rough AS MATERIALIZED (SELECT coalesce(min(k), 1048576) AS high FROM grid WHERE holds),
+fine AS MATERIALIZED (
+  SELECT g.k, max(pow(s.tokens / t.total::DOUBLE, g.k / 1048576.0) / s.tokens) * t.total::DOUBLE
+    / sum(pow(s.tokens / t.total::DOUBLE, g.k / 1048576.0)) <= 4.0 AS holds
+  FROM (SELECT unnest(range(greatest(0, high - 63), high)) AS k FROM rough) g, s, t GROUP BY g.k, t.total),
+a AS MATERIALIZED (
+  SELECT coalesce((SELECT min(k) FROM fine WHERE holds), (SELECT high FROM rough)) / 1048576.0 AS a),
+p AS MATERIALIZED (SELECT source, tokens, pow(tokens / total::DOUBLE, a) AS w FROM s, t, a),
+q AS MATERIALIZED (
+  SELECT source, tokens, w / (SELECT sum(w) FROM p) AS weight, floor(w / (SELECT sum(w) FROM p) * total)::BIGINT AS budget FROM p, t),
+b AS MATERIALIZED (
+  SELECT k.doc_id, k.source, k.n_tokens, q.weight, q.budget // q.tokens AS whole, q.budget % q.tokens AS rest
+  FROM k JOIN q ON k.source IS NOT DISTINCT FROM q.source),
+l AS MATERIALIZED (SELECT *, md5('17:' || whole || ':' || doc_id) AS place FROM b),
+r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY place, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS run FROM l)
+SELECT doc_id, source, block, md5('17:' || block || ':' || doc_id) AS place, n_tokens, round(weight, 9) AS weight
+FROM (SELECT *, unnest(range(0, whole)) AS block FROM b)
+UNION ALL
+SELECT doc_id, source, whole AS block, place, n_tokens, round(weight, 9) AS weight FROM r WHERE run <= rest
+"""
+
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
+         ("block", "net/fr/")]
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, sf_dir, "pages"), RULES)
+
+
+OP5_SQL = f"""
+WITH u AS MATERIALIZED (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS MATERIALIZED (
+  SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(rule, rule_verdict, h, s) AS (
+  SELECT r, v, regexp_extract(r, '^[^/]*'), regexp_extract(r, '/.*')
+  FROM (VALUES {', '.join(f"('{r}', '{v}')" for v, r in RULES)}) x(r, v)),
+f AS MATERIALIZED (
+  SELECT p.page_id, p.host, p.path, r.rule, r.rule_verdict,
+    row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.rule) DESC) AS place
+  FROM p LEFT JOIN rules r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.s)),
+o AS MATERIALIZED (SELECT * FROM f WHERE place = 1),
+listed AS MATERIALIZED (SELECT DISTINCT host FROM o WHERE rule_verdict = 'block' AND host <> '')
+SELECT page_id, host, path, rule,
+  coalesce(rule_verdict, CASE WHEN host IN (SELECT host FROM listed) THEN 'block' ELSE 'allow' END) AS verdict,
+  host IN (SELECT host FROM listed) AS listed_host FROM o
+"""
+
+
+def op8_exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
+
+
+OP8_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+OP10_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+w AS MATERIALIZED (
+  SELECT doc_id, i - 1 AS pos, trim(lines[i]) || chr(10) || trim(lines[i + 1]) || chr(10) || trim(lines[i + 2]) AS w
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS i FROM d)),
+f AS MATERIALIZED (
+  SELECT w, min(struct_pack(d := doc_id, p := pos)) AS f FROM w WHERE w <> chr(10) || chr(10) GROUP BY w HAVING count(*) > 1),
+later AS (SELECT w.doc_id, CASE WHEN f.f.d = w.doc_id THEN greatest(w.pos, f.f.p + 3) ELSE w.pos END AS a, w.pos + 2 AS b
+  FROM w JOIN f ON w.w = f.w WHERE struct_pack(d := w.doc_id, p := w.pos) <> f.f),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS line FROM later),
+l AS (SELECT doc_id, i - 1 AS line, lines[i] AS t FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+kept AS (SELECT l.doc_id, string_agg(l.t, chr(10) ORDER BY l.line) AS text FROM l ANTI JOIN gone USING (doc_id, line) GROUP BY l.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.lines IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text,
+  coalesce(len(d.lines), 0)::BIGINT AS n_lines, coalesce(n.n, 0)::BIGINT AS n_removed
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (
+    op1_ngram_jaccard_join, op3_temperature_mixing, op5_url_filters, op8_exact_top_k_search, op10_line_dedup)}
 
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
+    "op3_temperature_mixing": OP3_SQL,
+    "op5_url_filters": OP5_SQL,
+    "op8_exact_top_k_search": OP8_SQL,
+    "op10_line_dedup": OP10_SQL,
 }
