@@ -34,9 +34,9 @@ from ladingcheck.llm.shared import stored
 SLOTS = 1 << 18
 #: Slots that are summed as one row.
 BLOCK = 1 << 12
-PIVOT_LEVELS = 3
+PIVOT_LEVELS = 4
 #: Regions up to this size end the pivot levels.
-SMALL = 24
+SMALL = 200
 _HASH = np.uint64((1 << 58) - 1)
 
 
@@ -182,10 +182,18 @@ def ngram_jaccard(documents: DataFrame, width: int = 5, part: int = 80, whole: i
     members = stored(prints.select("doc_id", *key).join(classes, key, "left"), "members")
     reps = members.where("doc_id = rep").select("doc_id", "n_shingles").distinct()
     heads = prints.where("n_shingles > 0").join(reps, ["doc_id", "n_shingles"]).select(
-        F.explode("head").alias("s"), F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"))
+        F.posexplode("head").alias("pos", "s"), F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"))
+    heads = heads.select("s", "x", "n", (F.col("n") - F.col("pos")).alias("left"))
     size = F.count(F.lit(1)).alias("members")
     shared = heads.groupBy("s").agg(size).where("members > 1").select("s")
-    region = stored(heads.join(shared, "s").withColumn("outer", F.lit(True)), "regions")
+    region = stored(heads.join(shared, "s").withColumn("outer", F.lit(True)), "shared")
+    # Of a pair's regions the first in the order leaves at most the shingles from there on to share. A region of two that
+    # could not be the first of a linked pair has nothing to do.
+    open_regions = region.groupBy("s").agg(
+        size, F.min("n").alias("low"), F.max("n").alias("high"), F.min("left").alias("left"), F.sum("n").alias("both"))
+    open_regions = open_regions.where((F.col("members") > 2) | (whole * F.col("low") >= part * F.col("high")) & (
+        (whole + part) * F.col("left") >= part * F.col("both")))
+    region = stored(region.join(open_regions.select("s"), "s"), "regions")
     wanted = region.select(F.col("x").alias("doc_id")).distinct()
     texts = stored(docs.join(wanted, "doc_id", "left_semi"), "texts")
     links = []
@@ -206,14 +214,16 @@ def ngram_jaccard(documents: DataFrame, width: int = 5, part: int = 80, whole: i
         # A little slack on the window keeps rounding from closing it.
         open_ = ~F.col("linked") | (F.col("d") >= F.col("d_out") - (whole - part) / whole - 1e-9)
         region = stored(far.join(outside, "s").where(open_).select(
-            "s", "x", "n", (~F.col("linked")).alias("outer")), "regions")
-        top = region.groupBy("s").agg(size).agg(F.max("members")).first()[0]
-        if top is None or top <= SMALL and level:
+            "s", "x", "n", "left", (~F.col("linked")).alias("outer")), "regions")
+        if (region.groupBy("s").agg(size).agg(F.max("members")).first()[0] or 0) <= SMALL:
             break
-    other = region.select("s", F.col("x").alias("p"), F.col("n").alias("n_p"), F.col("outer").alias("outer_p"))
+    other = region.select("s", F.col("x").alias("p"), F.col("n").alias("n_p"), F.col("left").alias("left_p"),
+                          F.col("outer").alias("outer_p"))
     pairs = region.join(other, "s").where(
         (F.col("x") < F.col("p")) & (F.col("outer") | F.col("outer_p"))
-        & (whole * F.least("n", "n_p") >= part * F.greatest("n", "n_p"))).select("x", "p", "n", "n_p").distinct()
+        & (whole * F.least("n", "n_p") >= part * F.greatest("n", "n_p"))
+        & ((whole + part) * F.least("left", "left_p") >= part * (F.col("n") + F.col("n_p")))).select(
+            "x", "p", "n", "n_p").distinct()
     pairs = stored(pairs, "pairs")
     found = pairs.join(_measured(pairs.select("x", "p"), texts, width), ["x", "p"])
     links.append(found.where(whole * F.col("shared") >= part * (F.col("n") + F.col("n_p") - F.col("shared"))).select(
