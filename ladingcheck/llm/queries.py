@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladingcheck.llm import cover_tree, line_dedup, mixing, ngram_jaccard, url_filter
+from ladingcheck.llm import cover_tree, license_scan, line_dedup, mixing, ngram_jaccard, url_filter
 from ladingcheck.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,51 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS
 """
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _base_places(phrase: str, label: str) -> str:
+    words = phrase.split()
+    same = " AND ".join(f"ws[i + {j}] = {_text(w)}" for j, w in enumerate(words))
+    return f"""SELECT doc_id, i - 1 AS place, i + {len(words)} - 2 AS last_place, {_text(label)} AS label FROM spots WHERE {same}"""
+
+
+OP2_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents),
+w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM d),
+spots AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+base AS MATERIALIZED ({' UNION ALL '.join(_base_places(p, lab) for p, lab in license_scan.BASE)}),
+b AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels
+  FROM base GROUP BY doc_id),
+rules(no, rank, label, key, re) AS MATERIALIZED (VALUES {', '.join(
+    f"({i}, {r}, {_text(lab)}, {_text(k)}, {_text(p)})" for i, (r, lab, k, p) in enumerate(license_scan.RULES))}),
+hits AS MATERIALIZED (
+  SELECT d.doc_id, r.no, r.rank, r.label, regexp_extract_all(d.t, r.re) AS found, string_split_regex(d.t, r.re) AS gaps
+  FROM d JOIN rules r ON contains(d.t, r.key)),
+pieces AS (SELECT doc_id, no, rank, label, found, gaps, unnest(range(1, len(found) + 1)) AS i FROM hits),
+ends AS (SELECT doc_id, no, rank, label, i, length(found[i]) AS n,
+    sum(length(found[i]) + length(gaps[i])) OVER (PARTITION BY doc_id, no ORDER BY i) AS b FROM pieces),
+spans AS MATERIALIZED (SELECT doc_id, no, rank, label, b - n AS a, b FROM ends),
+kept AS MATERIALIZED (
+  SELECT * FROM spans s WHERE NOT EXISTS (
+    SELECT 1 FROM spans o WHERE o.doc_id = s.doc_id AND o.a <= s.a AND o.b >= s.b
+      AND (o.rank < s.rank OR o.rank = s.rank AND o.b - o.a > s.b - s.a))),
+m AS MATERIALIZED (SELECT doc_id, list(DISTINCT label) AS labels, min(rank) AS best FROM kept GROUP BY doc_id)
+SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.first_word::BIGINT AS first_word,
+  b.last_word::BIGINT AS last_word, array_to_string(list_sort(coalesce(b.labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ',') AS labels,
+  greatest(CASE m.best {' '.join(f'WHEN {r} THEN {w}' for r, w in license_scan.WORTH.items())} ELSE 0 END,
+    CASE WHEN b.n > 0 THEN 0.5 ELSE 0 END)::DOUBLE AS score
+FROM w LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
 def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), budget_share=1.0, max_repeats=4.0)
     return out.withColumn("weight", F.round("weight", 9))
@@ -144,10 +189,11 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
-    op1_ngram_jaccard_join, op3_temperature_mixing, op5_url_filters, op8_exact_top_k_search, op10_line_dedup)}
+    op1_ngram_jaccard_join, op2_license_scans, op3_temperature_mixing, op5_url_filters, op8_exact_top_k_search, op10_line_dedup)}
 
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
+    "op2_license_scans": OP2_SQL,
     "op3_temperature_mixing": OP3_SQL,
     "op5_url_filters": OP5_SQL,
     "op8_exact_top_k_search": OP8_SQL,
