@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladingcheck.llm import cover_tree, license_scan, line_dedup, mixing, ngram_jaccard, url_filter
+from ladingcheck.llm import cover_tree, license_scan, line_dedup, mixing, ngram_jaccard, pii, url_filter
 from ladingcheck.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,6 +165,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -189,7 +193,7 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
-    op1_ngram_jaccard_join, op2_license_scans, op3_temperature_mixing, op5_url_filters, op8_exact_top_k_search, op10_line_dedup)}
+    op1_ngram_jaccard_join, op2_license_scans, op3_temperature_mixing, op5_url_filters, op8_exact_top_k_search, op9_pii, op10_line_dedup)}
 
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
