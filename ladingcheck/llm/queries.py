@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladingcheck.llm import cover_tree, license_scan, line_dedup, mixing, ngram_jaccard, pii, url_filter
+from ladingcheck.llm import cover_tree, decontaminate, language_id, license_scan, line_dedup, mixing, ngram_jaccard, pii, url_filter
 from ladingcheck.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +120,15 @@ UNION ALL
 SELECT doc_id, source, whole AS block, place, n_tokens, round(weight, 9) AS weight FROM r WHERE run <= rest
 """
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, carry=["doc_id"]).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
          ("block", "net/fr/")]
 
@@ -193,7 +202,7 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
-    op1_ngram_jaccard_join, op2_license_scans, op3_temperature_mixing, op5_url_filters, op8_exact_top_k_search, op9_pii, op10_line_dedup)}
+    op1_ngram_jaccard_join, op2_license_scans, op3_temperature_mixing, op4_language_id, op5_url_filters, op6_benchmark_decontamination, op8_exact_top_k_search, op9_pii, op10_line_dedup)}
 
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
