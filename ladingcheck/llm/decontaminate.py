@@ -32,18 +32,26 @@ def edits_allowed(m: np.ndarray, similarity: float) -> np.ndarray:
     return np.floor(np.asarray(m) * (1 - similarity) + 1e-9).astype(np.int64)
 
 
-def sample_walk(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, places: np.ndarray, repeat: int) -> np.ndarray:
-    """One number for the outputs at `places` of the walk over text[start:end] (beyond the end: no symbol)."""
-    at, key = starts.copy(), np.zeros(len(starts), np.uint64)
-    sampled = set(places.tolist())
+def sample_walk(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, places: np.ndarray, repeat: int,
+                seen: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Walks over text[start:end] (beyond the end: no symbol): which starts are left, one number each for their outputs at
+    `places`, and the sorted distinct outputs of each place. With `seen`, starts whose output is not in it are given up."""
+    at, left, key, symbols = starts.copy(), np.arange(len(starts)), np.zeros(len(starts), np.uint64), []
+    text, ends = np.append(text, np.uint64(0)), ends.copy()
     for step in range(int(places[-1]) + 1):
         inside = at < ends
-        symbol = np.where(inside, text[np.minimum(at, len(text) - 1)], np.uint64(0))
-        if step in sampled:
+        symbol = text[np.where(inside, at, len(text) - 1)]
+        if step in places:
+            if seen is not None:
+                known = seen[len(symbols)]
+                stays = np.flatnonzero(known[np.searchsorted(known[:-1], symbol)] == symbol)
+                at, ends, left, key, symbol, inside = (x[stays] for x in (at, ends, left, key, symbol, inside))
             key = W.mix(key ^ (symbol + np.uint64(step)))
-        coin = W.mix(symbol ^ np.uint64((repeat * 4099 + step + 1) * int(_GOLD) & (1 << 64) - 1)) & np.uint64(1)
-        at += (coin == 1) & inside
-    return key
+            symbols.append(np.unique(symbol))
+        # The top bit of a product is coin enough: symbols are hashes, and the factor depends on step and repetition.
+        coin = (symbol * np.uint64((repeat * 8198 + 2 * step + 1) * int(_GOLD) & (1 << 64) - 1)) >> np.uint64(63)
+        at += coin.astype(np.int64) & inside
+    return left, key, symbols
 
 
 @dataclass
@@ -51,7 +59,8 @@ class ItemClass:
     """Items of similar length: `least` words are walked."""
     items: np.ndarray
     least: int
-    walks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # places, sorted keys, items in that order
+    known: np.ndarray  # sorted words of the items
+    walks: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]  # places, sorted keys, items in that order, outputs
 
 
 class Items:
@@ -99,45 +108,45 @@ class Items:
         text_, starts_, ends_ = np.array(text or [0], np.uint64), np.array(starts, np.int64), np.array(ends, np.int64)
         item_starts = self.start[items]
         item_ends = np.minimum(item_starts + self.length[items], item_starts + least)
+        known = np.unique(np.concatenate([self.words[a:a + n] for a, n in zip(item_starts, self.length[items])]))
         for samples in (3, 2, 1):
             walks, caught = [], np.zeros(len(copies), bool)
             for repeat in range(MOST_REPEATS):
                 places = np.sort(rng.choice(max(samples, 2 * least), samples, replace=False))
-                key = sample_walk(self.words, item_starts, item_ends, places, repeat)
-                caught |= sample_walk(text_, starts_, ends_, places, repeat) == np.resize(key, len(copies))
+                _, key, seen = sample_walk(self.words, item_starts, item_ends, places, repeat)
+                caught |= sample_walk(text_, starts_, ends_, places, repeat)[1] == np.resize(key, len(copies))
                 by = np.argsort(key, kind="stable")
-                walks.append((places, key[by], items[by]))
+                walks.append((places, key[by], items[by], seen))
                 if caught.mean() >= recall:
-                    return ItemClass(items, least, walks)
-        return ItemClass(items, least, walks)
+                    return ItemClass(items, least, known, walks)
+        return ItemClass(items, least, known, walks)
 
     def candidates(self, text: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window start, item) pairs whose walks agree, for documents text[first:first + count]."""
-        if not len(text):
+        if not len(text) or not len(self.words):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        place = np.searchsorted(self.known, text)
-        place[place == len(self.known)] = 0
-        is_known = self.known[place] == text
-        known = np.concatenate([[0], np.cumsum(is_known)])
+        place = np.minimum(np.searchsorted(self.known, text), len(self.known) - 1)
+        right = self.known[place] == text
         ends = np.repeat(first + counts, counts)
         found = []
         for c in self.classes:
             allowed = int(self.allowed[c.items].max())
-            at = np.arange(len(text))
+            is_known = np.isin(self.known, c.known, assume_unique=True)[place] & right
+            known, at = np.concatenate([[0], np.cumsum(is_known)]), np.arange(len(text))
             stop = np.minimum(at + c.least, ends)
             enough = known[stop] - known[at] >= c.least - allowed
             at = np.flatnonzero(enough)
             if not len(at):
                 continue
             stop, hits = stop[at], []
-            for repeat, (places, keys, items) in enumerate(c.walks):
-                key = sample_walk(text, at, stop, places, repeat)
+            for repeat, (places, keys, items, seen) in enumerate(c.walks):
+                left, key, _ = sample_walk(text, at, stop, places, repeat, seen)
                 low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
                 some = np.flatnonzero(high > low)
                 if len(some):
                     n = high[some] - low[some]
                     pick = np.repeat(low[some] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
-                    hits.append(np.stack([np.repeat(at[some], n), items[pick]]))
+                    hits.append(np.stack([np.repeat(at[left[some]], n), items[pick]]))
             if hits:
                 found.append(np.unique(np.concatenate(hits, axis=1), axis=1))
         if not found:
@@ -145,27 +154,41 @@ class Items:
         both = np.concatenate(found, axis=1)
         return both[0], both[1]
 
+    def equal(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, item: np.ndarray) -> np.ndarray:
+        out = self.length[item] <= ends - starts
+        for one in np.unique(item[out]):
+            mine = np.flatnonzero(out & (item == one))
+            m = int(self.length[one])
+            own = self.words[self.start[one]:self.start[one] + m]
+            mine, rest = mine[text[starts[mine]] == own[0]], mine[text[starts[mine]] != own[0]]
+            out[rest] = False
+            out[mine] = (text[starts[mine, None] + np.arange(m)] == own).all(axis=1)
+        return out
+
     def distances(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, item: int) -> np.ndarray:
         """Word edit distance of text[start:min(start + m, end)] to the item, or more than allowed."""
         m, most = int(self.length[item]), int(self.allowed[item])
         own = self.words[self.start[item]:self.start[item] + m]
         size = np.minimum(m, ends - starts)
         out = np.full(len(starts), most + 1, np.int64)
-        near = np.flatnonzero(m - size <= most)
-        if not len(near):
-            return out
-        at = starts[near, None] + np.arange(m)
-        window = np.where(np.arange(m) < size[near, None], text[np.minimum(at, len(text) - 1)], ~np.uint64(0))
+        at = np.minimum(starts + np.arange(m)[:, None], len(text) - 1)
+        window = np.where(np.arange(m)[:, None] < size, text[at], ~np.uint64(0))  # a row for each place
+        # All but the allowed words of the item must be there.
+        near = np.flatnonzero(np.isin(window, own).sum(axis=0) >= m - most)
+        window, size = window[:, near], size[near]
         far = most + 1
-        row = np.minimum(np.broadcast_to(np.arange(m + 1), (len(near), m + 1)), far).copy()
-        for i in range(1, m + 1):
+        row = np.repeat(np.minimum(np.arange(m + 1), far)[:, None], len(near), axis=1)
+        for i in range(1, m + 1 if len(near) else 1):
             new = np.full_like(row, far)
             if i <= most:
-                new[:, 0] = i
-            for j in range(max(1, i - most), min(m, i + most) + 1):
-                new[:, j] = np.minimum(np.minimum(row[:, j] + 1, new[:, j - 1] + 1), row[:, j - 1] + (window[:, j - 1] != own[i - 1]))
+                new[0] = i
+            low, high = max(1, i - most), min(m, i + most)
+            swapped = row[low - 1:high] + (window[low - 1:high] != own[i - 1])
+            np.minimum(swapped, row[low:high + 1] + 1, out=swapped)
+            for j in range(low, high + 1):
+                np.minimum(swapped[j - low], new[j - 1] + 1, out=new[j])
             row = new
-        out[near] = np.minimum(row[np.arange(len(near)), size[near]], far)
+        out[near] = np.minimum(row[size, np.arange(len(near))], far)
         return out
 
 
@@ -182,8 +205,12 @@ def _finder(sent):
                     continue
                 doc = np.searchsorted(first + counts, at, "right")
                 distance = np.zeros(len(at), np.int64)
-                for one in np.unique(item):
-                    mine = np.flatnonzero(item == one)
+                same = items.equal(text, at, (first + counts)[doc], item)
+                # Where an item stands unchanged no other window of the document is better.
+                done = np.isin(doc * len(items.ids) + item, (doc * len(items.ids) + item)[same])
+                at, item, doc, distance, same = (x[same | ~done] for x in (at, item, doc, distance, same))
+                for one in np.unique(item[~same]):
+                    mine = np.flatnonzero((item == one) & ~same)
                     distance[mine] = items.distances(text, at[mine], (first + counts)[doc[mine]], int(one))
                 fits = distance <= items.allowed[item]
                 at, item, doc, distance = at[fits], item[fits], doc[fits], distance[fits]
