@@ -19,7 +19,7 @@ def _lines():
 
 def windows(documents: DataFrame) -> DataFrame:
     """doc_id, pos, h1, h2 of every window that is not blank; lines count without surrounding spaces."""
-    lines = F.transform(_lines(), F.trim)
+    lines = F.transform(_lines(), lambda x: F.trim(x))
     starts = F.when(F.size("lines") >= WIDTH, F.sequence(F.lit(0), F.size("lines") - WIDTH))
     # Hashing inside the array keeps the lines out of the exploded rows.
     hashed = F.transform(starts, lambda i: F.struct(

@@ -91,12 +91,13 @@ def graph(text: str) -> tuple[list[tuple[int, int]], list[list[int]], list[tuple
         before = text[max(0, m.start() - 24):m.start()].split()
         features.append([_feature(0, shape), _feature(1, f"{min(len(digits), 24)} {min(len(word), 40) // 4}"),
                          _feature(2, before[-1].lower() if before else "")])
-        if tokens and not text[tokens[-1][1]:m.start()].strip(" ") and m.start() - tokens[-1][1] < 3:
+        chained = bool(tokens) and m.start() - tokens[-1][1] < 3 and not text[tokens[-1][1]:m.start()].strip(" ")
+        if chained:
             edges.append((i - 1, i, 0))
         keys = {("d", digits), ("p", digits[:6])} if len(digits) >= 7 else {("w", word.strip(".,;:()").lower())}
         for key in sorted(keys):
-            if (other := last.get(key)) is not None and other != i - 1:
-                edges.append((other, i, 1))
+            if (other := last.get(key)) is not None and (other, chained) != (i - 1, True):
+                edges.append((other, i, 1))  # twice for numbers that are equal and so alike
             last[key] = i
         tokens.append(m.span())
     return tokens, features, edges

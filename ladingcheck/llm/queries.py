@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladingcheck.llm import cover_tree, decontaminate, language_id, license_scan, line_dedup, mixing, ngram_jaccard, pii, url_filter
+from ladingcheck.llm import cover_tree, decontaminate, language_id, license_scan, line_dedup, mixing, ngram_jaccard, pii, url_filter, warc
 from ladingcheck.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,6 +158,54 @@ SELECT page_id, host, path, rule,
 """
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+
+
+def _plain(html: str) -> str:
+    steps = [(r"(?s)<!--.*?-->", ""),
+             (r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</(script|style|noscript|template)\s*>", ""),
+             (r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/title|/article|/section|/header|/footer|/nav|/ul|/ol|/table)\b[^>]*>", None),
+             (r"<[!/?a-zA-Z][^>]*>", "")]
+    for pattern, by in steps:
+        html = f"regexp_replace({html}, {_text(pattern)}, {'chr(10)' if by is None else _text(by)}, 'g')"
+    for name, sign in warc.ENTITIES:
+        html = f"replace({html}, {_text(name)}, {_text(sign)})"
+    html = f"regexp_replace({html}, '[ \\t\\r\\f]+', ' ', 'g')"
+    html = f"regexp_replace({html}, ' ?\\n[ \\n]*', chr(10), 'g')"
+    return f"regexp_replace({html}, '^[ \\n]+|[ \\n]+$', '', 'g')"
+
+
+def _uuid(*parts: str) -> str:
+    h = f"md5({' || chr(10) || '.join(parts)})"
+    return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in (
+        (1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
+
+
+_NL = "chr(13) || chr(10)"
+OP7_SQL = f"""
+WITH h AS MATERIALIZED (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS html FROM pages),
+r AS MATERIALIZED (SELECT *, 'HTTP/1.1 200 OK | Content-Type: text/html; charset=utf-8 | Content-Length: ' || strlen(html) AS head FROM h),
+s AS MATERIALIZED (
+  SELECT *, replace(head, ' | ', {_NL}) || {_NL} || {_NL} || html AS block FROM r),
+d AS MATERIALIZED (
+  SELECT *, 'sha256:' || sha256(block) AS digest, 'sha256:' || sha256(html) AS refers_to_digest, strlen(block) AS length FROM s),
+i AS MATERIALIZED (SELECT *, {_uuid("'response'", 'page_id', 'target_uri', 'digest')} AS refers_to FROM d),
+k AS MATERIALIZED (
+  SELECT i.*, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
+    'source-content-type: application/http; msgtype=response' || {_NL} || 'source-content-length: ' || length || {_NL}
+    || 'source-block-digest: ' || digest || {_NL} || 'source-payload-digest: ' || refers_to_digest || {_NL}
+    || 'http-status: 200' || {_NL} || 'http-headers: ' || head || {_NL}
+    || 'title: ' || regexp_replace({_plain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")}, '\\s+', ' ', 'g') || {_NL}
+    || 'outlinks: ' || len(regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref\\s*=')) || {_NL} AS out FROM i
+  UNION ALL
+  SELECT i.*, 'conversion', 'text/plain', {_plain('html')} FROM i)
+SELECT page_id, record_type, {_uuid('record_type', 'refers_to', "'sha256:' || sha256(out)")} AS record_id, refers_to, target_uri,
+  '2024-01-01T00:00:00Z' AS date, content_type, 'text/html' AS payload_type, 'sha256:' || sha256(out) AS block_digest,
+  'sha256:' || sha256(out) AS payload_digest, refers_to_digest, strlen(out)::BIGINT AS content_length, out AS block FROM k
+"""
+
+
 def op8_exact_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
 
@@ -202,13 +250,15 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
-    op1_ngram_jaccard_join, op2_license_scans, op3_temperature_mixing, op4_language_id, op5_url_filters, op6_benchmark_decontamination, op8_exact_top_k_search, op9_pii, op10_line_dedup)}
+    op1_ngram_jaccard_join, op2_license_scans, op3_temperature_mixing, op4_language_id, op5_url_filters, op6_benchmark_decontamination, op7_warc,
+    op8_exact_top_k_search, op9_pii, op10_line_dedup)}
 
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op2_license_scans": OP2_SQL,
     "op3_temperature_mixing": OP3_SQL,
     "op5_url_filters": OP5_SQL,
+    "op7_warc": OP7_SQL,
     "op8_exact_top_k_search": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
 }
