@@ -28,13 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ladingcheck.llm import words as W
-from ladingcheck.llm.shared import stored
+from ladingcheck.llm.shared import bucketed, stored
 
 #: Slots of the table of counts that orders shingles; fixed, so what is broadcast is 4 bytes each at any input size.
 SLOTS = 1 << 18
 #: Slots that are summed as one row.
 BLOCK = 1 << 12
-PIVOT_LEVELS = 4
+PIVOT_LEVELS = 3
+#: Bits of a document that tell, for each of as many classes of shingles, whether their number is odd. Every shingle of one
+#: set alone changes one bit, so as many bits as differ, as many shingles at least are not shared: an exact bound.
+BITMAP = 1024
+#: Groups over which the members of a pivot are spread.
+SALTS = 64
 #: Regions up to this size end the pivot levels.
 SMALL = 200
 _HASH = np.uint64((1 << 58) - 1)
@@ -92,14 +97,18 @@ def _prints(width: int, rest: int, whole: int, order) -> object:
                 tokens = (table[_slots(hashes)] << np.uint64(58)) | hashes
                 ends = np.cumsum(counts)
                 n, a, b, heads = np.zeros(rows, np.int64), np.zeros(rows, np.uint64), np.zeros(rows, np.uint64), []
+                marks = np.zeros((rows, BITMAP // 8), np.uint8)
                 for i in range(rows):
                     own = np.unique(tokens[ends[i] - counts[i]:ends[i]])
                     n[i] = len(own)
                     a[i], b[i] = W.mix(own).sum(), W.mix(own ^ _HASH).sum()
+                    marks[i] = np.packbits(np.bincount((own % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1)
                     heads.append(own[:rest * len(own) // whole + 1].view(np.int64))
                 yield pa.record_batch({
                     "doc_id": batch.column("doc_id").slice(first, rows), "n_shingles": pa.array(n),
                     "sum_a": pa.array(a.view(np.int64)), "sum_b": pa.array(b.view(np.int64)),
+                    "marks": pa.FixedSizeListArray.from_arrays(pa.array(marks.ravel().view(np.int64)), BITMAP // 64).cast(
+                        pa.list_(pa.int64())),
                     "head": pa.ListArray.from_arrays(
                         pa.array(np.concatenate([[0], np.cumsum([len(h) for h in heads])]), pa.int32()),
                         pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)))})
@@ -135,11 +144,31 @@ def _overlaps(width: int):
     return run
 
 
-def _measured(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """x, p, shared: exact overlaps of candidate pairs. Plain equi joins, so a pivot with many members can be split."""
-    rows = (pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text_x")), "x")
-            .join(texts.select(F.col("doc_id").alias("p"), F.col("text").alias("text_p")), "p")
-            .select("x", "p", "text_x", "text_p"))
+def _apart(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """pairs with `apart`, the number of bits in which x and p differ."""
+    differ = F.aggregate(F.zip_with("marks_x", "marks_p", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    named = lambda id_: marks.select(F.col("doc_id").alias(id_), F.col("marks").alias(f"marks_{id_}"))
+    return pairs.join(named("x"), "x").join(named("p"), "p").withColumn("apart", differ.cast("long")).drop("marks_x", "marks_p")
+
+
+def _measured(pairs: DataFrame, marks: DataFrame, texts: DataFrame, width: int, part: int, whole: int) -> DataFrame:
+    """x, p, shared of pairs (x, p, n, n_p): what the sets share, or for pairs that differ in too many bits the most they can.
+
+    Texts lie in buckets by id, so only the narrow pairs move to them; then both texts of a pair meet in a group of one
+    pivot and a salt of x, so that a pivot of many members fills no task.
+    """
+    bounded = stored(_apart(pairs, marks).select("x", "p", F.floor((F.col("n") + F.col("n_p") - F.col("apart")) / 2).alias("shared"), (
+        (whole + part) * (F.col("n") + F.col("n_p") - F.col("apart")) >= 2 * part * (F.col("n") + F.col("n_p"))).alias("open")), "apart")
+    exact = _overlaps_of(bounded.where("open").select("x", "p"), texts, width)
+    return bounded.where("not open").select("x", "p", "shared").unionAll(exact)
+
+
+def _overlaps_of(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)))
+    left = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text_x")), "x")
+    right = pairs.select("p", "salt").distinct().join(
+        texts.select(F.col("doc_id").alias("p"), F.col("text").alias("text_p")), "p")
+    rows = left.join(right, ["p", "salt"]).select("x", "p", "text_x", "text_p")
     found = rows.mapInArrow(_overlaps(width), "x long, p long, shared long")
     return found.groupBy("x", "p").agg(F.max("shared").alias("shared"))  # an id may stand in several rows
 
@@ -176,7 +205,7 @@ def ngram_jaccard(documents: DataFrame, width: int = 5, part: int = 80, whole: i
     order = spark.sparkContext.broadcast(_order_table(docs, width))
     prints = stored(docs.mapInArrow(
         _prints(width, whole - part, whole, order),
-        "doc_id long, n_shingles long, sum_a long, sum_b long, head array<long>"), "prints")
+        "doc_id long, n_shingles long, sum_a long, sum_b long, marks array<long>, head array<long>"), "prints")
     key = ["n_shingles", "sum_a", "sum_b"]
     classes = prints.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     members = stored(prints.select("doc_id", *key).join(classes, key, "left"), "members")
@@ -190,20 +219,31 @@ def ngram_jaccard(documents: DataFrame, width: int = 5, part: int = 80, whole: i
     # Of a pair's regions the first in the order leaves at most the shingles from there on to share. A region of two that
     # could not be the first of a linked pair has nothing to do.
     open_regions = region.groupBy("s").agg(
-        size, F.min("n").alias("low"), F.max("n").alias("high"), F.min("left").alias("left"), F.sum("n").alias("both"))
-    open_regions = open_regions.where((F.col("members") > 2) | (whole * F.col("low") >= part * F.col("high")) & (
-        (whole + part) * F.col("left") >= part * F.col("both")))
-    region = stored(region.join(open_regions.select("s"), "s"), "regions")
+        size, F.min("n").alias("low"), F.max("n").alias("high"), F.min("left").alias("left"), F.sum("n").alias("both"),
+        F.min("x").alias("x"), F.max("x").alias("p"))
+    open_regions = stored(open_regions.where((F.col("members") > 2) | (whole * F.col("low") >= part * F.col("high")) & (
+        (whole + part) * F.col("left") >= part * F.col("both"))), "open")
+    marks = stored(prints.where("n_shingles > 0").select("doc_id", "n_shingles", "marks").join(reps, ["doc_id", "n_shingles"])
+                   .select("doc_id", "marks"), "marks")
+    near_two = _apart(open_regions.where("members = 2").select("x", "p", "both").distinct(), marks).where(
+        (whole + part) * (F.col("both") - F.col("apart")) >= 2 * part * F.col("both")).select("x", "p")
+    still = open_regions.where("members > 2").select("s").unionAll(
+        open_regions.where("members = 2").join(near_two, ["x", "p"]).select("s"))
+    region = stored(region.join(still, "s"), "regions")
     wanted = region.select(F.col("x").alias("doc_id")).distinct()
-    texts = stored(docs.join(wanted, "doc_id", "left_semi"), "texts")
+    texts = bucketed(docs.join(wanted, "doc_id", "left_semi"), "doc_id", "texts")
     links = []
-    rank = F.struct(~F.col("outer"), F.xxhash64("x"), "x", "n")
+    rank = F.struct(~F.col("outer"), F.xxhash64("x"), "x", "n", "left")
+    # Sizes, and what is left from the region's shingle on if it is the first that both share. A pair that fails is not
+    # linked or has its first region elsewhere; its distance then counts as the least that the sizes allow.
+    could_link = (whole * F.least("n", "n_p") >= part * F.greatest("n", "n_p")) & (
+        (whole + part) * F.least("left", "left_p") >= part * (F.col("n") + F.col("n_p")))
     for level in range(PIVOT_LEVELS):
         pivots = region.groupBy("s").agg(size, F.min(rank).alias("first")).where("members > 1").select(
-            "s", "members", F.col("first.x").alias("p"), F.col("first.n").alias("n_p"))
+            "s", F.col("first.x").alias("p"), F.col("first.n").alias("n_p"), F.col("first.left").alias("left_p"))
         near = stored(region.join(pivots, "s"), f"level{level}")
-        fits = (whole * F.least("n", "n_p") >= part * F.greatest("n", "n_p")) & (F.col("x") != F.col("p"))
-        measured = stored(_measured(near.where(fits).select("x", "p").distinct(), texts, width), "measured")
+        fits = (F.col("x") != F.col("p")) & could_link
+        measured = stored(_measured(near.where(fits).select("x", "p", "n", "n_p").distinct(), marks, texts, width, part, whole), "measured")
         union = F.col("n") + F.col("n_p") - F.col("shared")
         far = near.where("x <> p").join(measured, ["x", "p"], "left").withColumn("linked", F.coalesce(
             whole * F.col("shared") >= part * union, F.lit(False))).withColumn("d", F.coalesce(
@@ -221,11 +261,9 @@ def ngram_jaccard(documents: DataFrame, width: int = 5, part: int = 80, whole: i
                           F.col("outer").alias("outer_p"))
     pairs = region.join(other, "s").where(
         (F.col("x") < F.col("p")) & (F.col("outer") | F.col("outer_p"))
-        & (whole * F.least("n", "n_p") >= part * F.greatest("n", "n_p"))
-        & ((whole + part) * F.least("left", "left_p") >= part * (F.col("n") + F.col("n_p")))).select(
-            "x", "p", "n", "n_p").distinct()
+        & could_link).select("x", "p", "n", "n_p").distinct()
     pairs = stored(pairs, "pairs")
-    found = pairs.join(_measured(pairs.select("x", "p"), texts, width), ["x", "p"])
+    found = pairs.join(_measured(pairs, marks, texts, width, part, whole), ["x", "p"])
     links.append(found.where(whole * F.col("shared") >= part * (F.col("n") + F.col("n_p") - F.col("shared"))).select(
         F.col("p").alias("a"), F.col("x").alias("b")))
     edges = links[0]

@@ -29,6 +29,14 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, what: str) -> DataFrame:
+    """Like stored(), dealt by hash of `key` into as many buckets as a shuffle has partitions: joins on it move the other side only."""
+    spark = df.sparkSession
+    name = f"llm_{what}_{uuid.uuid4().hex}"
+    df.write.bucketBy(partitions(spark), key).option("path", f"{shared_dir(spark)}/llm/{name}").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
