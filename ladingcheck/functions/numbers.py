@@ -37,7 +37,7 @@ def _shift_point(number: Column) -> Column:
     whole = F.substring_index(number, ".", 1)
     part = F.when(number.contains("."), F.substring_index(number, ".", -1)).otherwise("")
     return canonical(F.concat(whole, F.rpad(F.substring(part, 1, 3), 3, "0"),
-                              F.lit("."), F.substring(part, 4, 1000000), F.lit("0")))
+                              F.lit("."), F.substring(part, F.lit(4), F.length(part)), F.lit("0")))
 
 
 def as_decimal(number: Column) -> Column:

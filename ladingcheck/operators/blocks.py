@@ -164,6 +164,10 @@ def column_spans(text: Column) -> Column:
     return let(let(page, walk), collect)
 
 
+#: Step of a block's place from page to page; a page has fewer blocks.
+PAGE_STEP = 1 << 32
+
+
 def page_blocks(pages: DataFrame) -> DataFrame:
     """pages(document_id, page, text) to blocks in page order: both layouts.
 
@@ -181,7 +185,7 @@ def page_blocks(pages: DataFrame) -> DataFrame:
         .select("document_id", "page", F.posexplode("spans").alias("i", "s"))
         .select(
             "document_id", "page",
-            (F.col("page") * 100000 + F.col("i")).cast("int").alias("ord"),
+            (F.col("page").cast("bigint") * PAGE_STEP + F.col("i")).alias("ord"),
             "s.line", "s.label", "s.value",
         )
     )
@@ -252,14 +256,12 @@ def grid_blocks(cells: DataFrame) -> DataFrame:
 
 def page_status(pages: DataFrame) -> DataFrame:
     """Per paged document: status, text, and the diagnostics its pages give rise to."""
-    counted = pages.groupBy("document_id").agg(F.count("*").alias("page_count"))
-    kept = pages.filter(F.col("page") <= K.MAX_PDF_PAGES)
     blank = strip(F.col("text")) == ""
-    per_document = kept.groupBy("document_id").agg(
+    d = pages.groupBy("document_id").agg(
+        F.count("*").alias("page_count"),
         F.count_if(~blank).alias("text_pages"),
         F.count_if(blank & F.col("has_images")).alias("image_pages"),
     )
-    d = counted.join(per_document, "document_id", "left").na.fill(0)
     return d.withColumns({
         "status": F.when(F.col("text_pages") > 0, "OK").otherwise("UNREADABLE"),
         "diagnostics": F.array_compact(F.array(
@@ -270,24 +272,6 @@ def page_status(pages: DataFrame) -> DataFrame:
     })
 
 
-def within_cell_limit(cells: DataFrame, limit: int = K.MAX_SHEET_CELLS) -> DataFrame:
-    """Cells up to the configured budget of a document, in sheet, row, column order.
-
-    The place of a cell is its place in the row plus the cells of all earlier
-    rows: only row counts, not cells, are ordered within a document.
-    """
-    rows = cells.groupBy("document_id", "container", "row").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("document_id").orderBy("container", "row").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = rows.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    in_row = Window.partitionBy("document_id", "container", "row").orderBy("col")
-    return (
-        cells.withColumn("place", F.row_number().over(in_row))
-        .join(offsets, ["document_id", "container", "row"])
-        .filter(F.col("before") + F.col("place") <= limit).drop("before", "place")
-    )
-
-
 def grid_status(cells: DataFrame) -> DataFrame:
     """Per grid document: status and diagnostics."""
     blank = strip(F.col("text")) == ""

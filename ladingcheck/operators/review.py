@@ -131,7 +131,7 @@ def review_requirement(assessment: Column, roles: Column, si_outcomes: Column, b
             options = F.concat(
                 F.transform(values, lambda c, i: _option(
                     F.concat(F.lit("val_"), (i + 1).cast("string")), "VALUE",
-                    F.left(strip(c["raw"]), F.lit(120)), value=c)),
+                    strip(c["raw"]), value=c)),
                 _escape("None of these is correct"))
             choice = _review(
                 "FIELD", "CHOICE", reason,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ladingcheck import schema
 from ladingcheck.functions.text import let
 
-_ID = 12
+_ID = 32
 
 
 def _digest(prefix: str, *parts):
@@ -38,7 +38,8 @@ def to_cases(verified: DataFrame) -> DataFrame:
         "updated_at": F.col("received_at"),
         "completed_at": F.when(F.col("workflow_status") == "COMPLETED", F.col("received_at")),
         "had_review": F.col("review").isNotNull(),
-    })
+    }).withColumn("processing_ms", F.unix_millis(F.col("completed_at").cast("timestamp"))
+                  - F.unix_millis(F.col("started_at").cast("timestamp")))
 
 
 def side_values(cases: DataFrame) -> DataFrame:

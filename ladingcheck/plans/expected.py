@@ -19,7 +19,7 @@ lines AS (
 facts AS (
   SELECT o_orderkey AS k, o_orderdate AS received_at, suppkey, s_name AS shipper, sp.n_name AS shipper_nation,
          c_name AS consignee, containers, sp.place AS pol, sp.code AS pol_code, cp.place AS pod, cp.code AS pod_code,
-         'email_' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS email_id,
+         'email_' || printf('%08d', o_orderkey) AS email_id,
          CASE WHEN (o_orderkey // 200) % 2 = 0 THEN 'participant' ELSE 'synthetic_demo' END AS registry,
          CASE WHEN (o_orderkey // 200) % 2 = 0 THEN 'EVAL' ELSE 'DEMO' END AS run_kind,
          o_orderkey % 10 AS m,
@@ -153,10 +153,10 @@ applied AS (
 
 _RUNS = """
 runs AS (
-  SELECT 'case_' || lpad(CAST(l_orderkey AS VARCHAR), 8, '0') AS case_id,
-    'run_' || lpad(CAST(l_orderkey AS VARCHAR), 8, '0') || '_' || l_linenumber AS run_id,
+  SELECT 'case_' || printf('%08d', l_orderkey) AS case_id,
+    'run_' || printf('%08d', l_orderkey) || '_' || l_linenumber AS run_id,
     l_shipdate AS started_at, CAST(l_quantity AS BIGINT) AS quantity
-  FROM lineitem WHERE l_linenumber <= 2),
+  FROM lineitem),
 cur AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY started_at DESC, run_id DESC) AS rn FROM runs) WHERE rn = 1),
 marked AS (SELECT *, run_id NOT IN (SELECT run_id FROM cur) AS old FROM runs)
@@ -164,8 +164,8 @@ marked AS (SELECT *, run_id NOT IN (SELECT run_id FROM cur) AS old FROM runs)
 
 _LOG = """
 log AS (
-  SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS event_id, 'case_' || lpad(CAST(event_id % 500 AS VARCHAR), 4, '0') AS case_id,
-    'case_' || lpad(CAST(event_id % 500 AS VARCHAR), 4, '0') || '_r' || ((event_id // 500) % 2) AS run_id, ts AS moment,
+  SELECT printf('%012d', event_id) AS event_id, 'case_' || printf('%04d', event_id % 500) AS case_id,
+    'case_' || printf('%04d', event_id % 500) || '_r' || ((event_id // 500) % 2) AS run_id, ts AS moment,
     CASE event_type WHEN 'signup' THEN 'CASE_CREATED' WHEN 'view' THEN 'REVIEW_NOTIFIED' WHEN 'click' THEN 'DECISION_RECEIVED'
       WHEN 'purchase' THEN 'CASE_COMPLETED' ELSE 'PROCESSING_FAILED' END AS type
   FROM events)
@@ -381,7 +381,7 @@ SELECT CASE WHEN k % 11 = 0 THEN 'UNREADABLE' ELSE 'OK' END AS status,
   CASE WHEN k % 11 = 0 AND k % 2 = 0 THEN 'IMAGE_ONLY_PAGE,IMAGE_ONLY_DOCUMENT' WHEN k % 11 = 0 THEN 'IMAGE_ONLY_DOCUMENT' ELSE '' END AS diagnostics,
   count(*) AS n FROM facts WHERE containers IS NOT NULL GROUP BY 1, 2"""),
         "b07_grid_status": _with(_FACTS, """
-SELECT 'OK' AS status, 5 AS filled, 5 AS cell_count, count(*) AS n FROM facts WHERE containers IS NOT NULL"""),
+SELECT email_id AS document_id, 'OK' AS status, 8 AS filled, 9 AS cell_count, '' AS diagnostics FROM facts WHERE containers IS NOT NULL"""),
         "b08_quote_view": _with(_CASES, """
 SELECT email_id, 11 + length(CASE WHEN m = 0 THEN 'Congratulations, you have won a prize' WHEN m = 1 THEN 'Query on invoice ' || k || ': please advise'
   WHEN m = 2 THEN 'Please find attached shipping instructions for ' || k || '. Kindly prepare the draft.'
@@ -393,8 +393,10 @@ SELECT email_id, 11 + length(CASE WHEN m = 0 THEN 'Congratulations, you have won
 SELECT email_id, category, rule_id, 'DETERMINISTIC' AS classified_by, rule_id = 'R-GEN-DEFAULT' AS unresolved FROM res"""),
         "k02_relevance": _with(_CASES, """
 SELECT email_id, rule_id NOT IN ('R-SPAM-1', 'R-GEN-DEFAULT') AND NOT (k % 3 = 0 AND true) AS relevant,
-  CASE WHEN m = 0 OR k % 3 = 0 THEN 'Unsolicited promotional' WHEN rule_id = 'R-GEN-DEFAULT' THEN 'Automated third-party s'
-    WHEN rule_id = 'R-GEN-1' THEN 'Matched operational mar' ELSE 'Matched shipping intent' END AS reason FROM res"""),
+  CASE WHEN m = 0 THEN 'Unsolicited promotional / spam content (Congratulations, you have won)'
+    WHEN k % 3 = 0 THEN 'Unsolicited promotional / spam content (congratulations you have won)'
+    WHEN rule_id = 'R-GEN-DEFAULT' THEN 'Automated third-party service / non-shipping notification'
+    WHEN rule_id = 'R-GEN-1' THEN 'Matched operational maritime / shipping traffic' ELSE 'Matched shipping intent: ' || category END AS reason FROM res"""),
         "k03_classify_with_proposals": _with(_CASES, """
 SELECT email_id, CASE WHEN rule_id <> 'R-GEN-DEFAULT' THEN category WHEN k % 7 = 0 OR k % 3 = 1 THEN NULL ELSE 'GENERAL' END AS category,
   CASE WHEN rule_id <> 'R-GEN-DEFAULT' THEN 'DETERMINISTIC' WHEN k % 7 = 0 OR k % 3 = 1 THEN NULL ELSE 'AI' END AS classified_by,
@@ -516,9 +518,9 @@ UNION ALL SELECT email_id, 'BL', field, bl_value, bl_cause FROM cmp"""),
         "x05_extract_sides": _with(_CASES, """
 SELECT email_id AS case_id, 14 AS outcomes, 14 AS distinct_targets FROM res WHERE is_bl"""),
         "x06_unresolved_targets": _with(_FIELDS, """
-SELECT case_id, field, side, cause FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY place_no, so) AS rn FROM (
+SELECT case_id, rn AS place, field, side, cause FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY place_no, so) AS rn FROM (
   SELECT email_id AS case_id, field, 'SI' AS side, si_cause AS cause, place_no, 0 AS so FROM cmp WHERE si_cause IS NOT NULL
-  UNION ALL SELECT email_id, field, 'BL', bl_cause, place_no, 1 FROM cmp WHERE bl_cause IS NOT NULL)) WHERE rn = 1"""),
+  UNION ALL SELECT email_id, field, 'BL', bl_cause, place_no, 1 FROM cmp WHERE bl_cause IS NOT NULL))"""),
         "x07_judge_proposals": _with(_CASES, """
 SELECT 'BL' AS side, 'gross_weight_kg' AS field, CASE WHEN k % 5 = 0 THEN 'EVIDENCE_DISAGREES' WHEN k % 7 = 0 THEN 'DISCLAIMED' END AS rejected,
   count(*) * 2 AS n FROM res WHERE is_bl AND d = 14 GROUP BY 3
@@ -599,7 +601,7 @@ SELECT error_code, count(*) AS n FROM judged WHERE event_type = 'signup'
   AND (error_code IS NULL OR error_code = 'INVALID_CONFIRMATION') GROUP BY 1"""),
         "d03_first_accepted_wins": _with(_EVENTS, "SELECT event_id, k, action FROM won"),
         "d04_budget_ledger": """
-WITH d AS (SELECT 'run_' || lpad(CAST(event_id % 50 AS VARCHAR), 2, '0') AS run_id, event_id AS sequence,
+WITH d AS (SELECT 'run_' || printf('%02d', event_id % 50) AS run_id, event_id AS sequence,
   CASE WHEN event_type <> 'view' THEN ['shipper', 'consignee', 'notify_party', 'port_of_loading'][(user_id % 4) + 1] END AS f,
   CASE WHEN user_id % 2 = 0 THEN 'SI' ELSE 'BL' END AS s, event_type = 'view' AS choice FROM events),
 x AS (SELECT *, CASE WHEN f IS NOT NULL THEN row_number() OVER (PARTITION BY run_id, f ORDER BY sequence) - 1 END AS field_before,
@@ -641,7 +643,7 @@ UNION ALL SELECT 'decision/' || CASE WHEN quantity % 3 = 0 THEN 'applied' ELSE '
 SELECT CASE WHEN quantity % 11 = 0 THEN 'RUN_STATE_UNAVAILABLE' WHEN quantity % 5 <> q OR quantity % 7 = 0 THEN 'RUN_IDENTITY_CHANGED' END AS problem,
   count(*) AS n FROM runs JOIN last USING (case_id) GROUP BY 1"""),
         "d12_job_outcomes": """
-WITH a AS (SELECT 'job_' || lpad(CAST(event_id // 3 AS VARCHAR), 8, '0') AS job_id, ts,
+WITH a AS (SELECT 'job_' || printf('%08d', event_id // 3) AS job_id, ts,
   CASE WHEN event_id % 97 = 0 THEN 'SUPERSEDED' WHEN event_type IN ('signup', 'view') THEN 'STARTED'
     WHEN event_type IN ('click', 'purchase') THEN 'DONE' ELSE 'FAILED' END AS event FROM events)
 SELECT job_id, CASE WHEN bool_or(event = 'SUPERSEDED') THEN 'SUPERSEDED' WHEN count(*) FILTER (WHERE event = 'FAILED') >= 2 THEN 'FAILED'
@@ -664,7 +666,7 @@ SELECT event_id, case_id, round((epoch_us(moment) - epoch_us(lag(moment) OVER (P
 SELECT case_id, run_id, round((epoch_us(max(moment) FILTER (WHERE type = 'CASE_COMPLETED')) - epoch_us(min(moment) FILTER (WHERE type = 'CASE_CREATED'))) / 1e6, 6) AS seconds
 FROM log GROUP BY 1, 2 HAVING count(*) FILTER (WHERE type = 'CASE_COMPLETED') > 0 AND count(*) FILTER (WHERE type = 'CASE_CREATED') > 0"""),
         "d17_invalid_burst": """
-WITH a AS (SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS attempt_id, user_id % 10 AS actor, epoch_ms(ts) // 2000 AS at_ms, event_type <> 'view' AS invalid FROM events)
+WITH a AS (SELECT printf('%012d', event_id) AS attempt_id, user_id % 10 AS actor, epoch_ms(ts) // 2000 AS at_ms, event_type <> 'view' AS invalid FROM events)
 SELECT attempt_id, n AS invalid_before, n >= 12 AS burst FROM (SELECT attempt_id,
   coalesce(sum(CASE WHEN invalid THEN 1 ELSE 0 END) OVER (PARTITION BY actor ORDER BY at_ms RANGE BETWEEN 59999 PRECEDING AND 1 PRECEDING), 0) AS n FROM a)""",
         "d18_mark_notified": _with(_RUNS, """
@@ -686,6 +688,7 @@ SELECT count(*) AS total_cases, CAST(0 AS BIGINT) AS unclassified, count(*) FILT
   count(*) FILTER (WHERE is_bl) AS bl_total, count(*) FILTER (WHERE is_bl AND status = 'OK') AS bl_ok,
   count(*) FILTER (WHERE is_bl AND status = 'MISMATCH') AS bl_mismatch, count(*) FILTER (WHERE is_bl AND status = 'NEEDS_REVIEW') AS bl_needs_review,
   (SELECT count(si_value) + count(bl_value) FROM cmp) AS values_present, (SELECT count(si_value) + count(bl_value) FROM cmp) AS values_grounded,
+  CASE WHEN count(*) FILTER (WHERE ui_mode IS NULL) > 0 THEN 0.0::DOUBLE END AS avg_processing_ms,
   100.0 AS grounding_accuracy FROM res"""),
         "a02_counts_by": _with(_CASES, """
 , dims AS (SELECT * FROM (VALUES ('category', 'BL_COMPARISON'), ('category', 'SI_REQUEST'), ('category', 'INVOICE_QUERY'), ('category', 'GENERAL'),

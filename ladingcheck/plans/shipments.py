@@ -46,7 +46,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(
         "k", "received_at", "suppkey", "shipper", "shipper_nation", "consignee", "containers",
         "pol", "pol_code", "pod", "pod_code",
-        F.concat(F.lit("email_"), F.lpad(k.cast("string"), 8, "0")).alias("email_id"),
+        F.format_string("email_%08d", k).alias("email_id"),
         F.when(F.floor(k / 200) % 2 == 0, "participant").otherwise("synthetic_demo").alias("registry"),
         F.when(F.floor(k / 200) % 2 == 0, "EVAL").otherwise("DEMO").alias("run_kind"),
         (k % 10).cast("int").alias("m"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -103,7 +104,10 @@ def read_files(spark: SparkSession, root: str, registry: str) -> DataFrame:
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
         .load(f"{root}/attachments")
     )
-    relative = F.regexp_replace("path", r"^.*?/(attachments/)", "$1")
+    # The folder names of the root may hold "attachments" themselves, so its whole path is cut off.
+    folder = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root) + "/attachments/"
+    relative = F.concat(F.lit("attachments/"), F.substring(
+        F.col("path"), F.instr("path", folder) + len(folder), F.length("path")))
     return files.select(
         F.lit(registry).alias("registry"), relative.alias("path"), "content",
         F.col("length").alias("size_bytes"),
@@ -135,7 +139,7 @@ def detect_format(content: Column, decodable: Column) -> Column:
     def member(name: str) -> Column:
         return F.contains(content, F.lit(name.encode("ascii")))
 
-    has_nul = F.decode(F.substring(content, 1, 4096), "ISO-8859-1").contains("\x00")
+    has_nul = F.contains(content, F.lit(b"\x00"))
     return (
         F.when(head == "255044462D", "pdf")
         .when(archive & member("word/document.xml"), "docx")
@@ -197,9 +201,9 @@ def resolve_sources(emails: DataFrame, files: DataFrame) -> DataFrame:
         .when(F.col("file_path").isNull(), "MISSING_FILE")
         .when(oversized, "OVERSIZED")
     )
-    known_hash = F.when(issue.isNull(), F.col("content_hash"))
-    return joined.withColumns({"issue": issue, "content_hash": known_hash}).withColumns({
-        "present": F.col("issue").isNull(),
+    # OVERSIZED is a mark only: such a file is read like any other.
+    read = issue.isNull() | (issue == "OVERSIZED")
+    return joined.withColumns({"issue": issue, "content_hash": F.when(read, F.col("content_hash")), "present": read}).withColumns({
         "demo_safe": F.col("registry") == "synthetic_demo",
         "document_id": document_id(F.col("run_kind"), F.col("case_id"), F.col("registry"),
                                    F.col("path"), F.col("content_hash")),

@@ -105,7 +105,7 @@ def report_rows(cases: DataFrame) -> DataFrame:
     """22 columns, one row per compared field; one row for a case without fields."""
     hashes = F.transform(
         F.filter("documents", lambda d: d["content_hash"] != ""),
-        lambda d: F.concat(d["filename"], F.lit(" (sha256:"), F.left(d["content_hash"], F.lit(16)), F.lit("...)")))
+        lambda d: F.concat(d["filename"], F.lit(" (sha256:"), d["content_hash"], F.lit(")")))
     exploded = cases.withColumn("_hashes", F.when(
         F.size("documents") > 0, F.array_join(hashes, " | ")).otherwise("None")).select(
         "*", F.explode_outer("fields").alias("f"))

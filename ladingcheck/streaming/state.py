@@ -23,14 +23,14 @@ class CaseState(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         run_id, status, at = self.state.get() if self.state.exists() else (None, None, None)
         changed = False
-        for frame in rows:
-            for event in frame.sort_values(["at", "event_id"]).itertuples():
-                if event.type in ("CASE_CREATED", "CASE_REPROCESSED"):
-                    run_id = event.run_id
-                new = _STATUS_OF_EVENT.get(event.type)
-                if new is None or run_id is None or event.run_id != run_id:
-                    continue
-                status, at, changed = new, event.at, True
+        # A key's rows of a micro-batch may come in several frames; their order is that of all of them.
+        for event in pd.concat(list(rows)).sort_values(["at", "event_id"]).itertuples():
+            if event.type in ("CASE_CREATED", "CASE_REPROCESSED"):
+                run_id = event.run_id
+            new = _STATUS_OF_EVENT.get(event.type)
+            if new is None or run_id is None or event.run_id != run_id:
+                continue
+            status, at, changed = new, event.at, True
         if run_id is not None:
             self.state.update((run_id, status, at))
         if changed:
@@ -54,17 +54,19 @@ class AttemptLimit(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         counted = [r[0] for r in self.counted.get()] if self.counted.exists() else []
-        for frame in rows:
-            limited = []
-            frame = frame.sort_values(["at_ms", "attempt_id"])
-            for at, invalid in zip(frame["at_ms"], frame["invalid"]):
-                counted = [t for t in counted if at - t < K.INVALID_WINDOW_MS]
-                full = len(counted) >= K.INVALID_LIMIT
-                limited.append(full)
-                if invalid and not full:
-                    counted.append(at)
-            yield frame.assign(limited=limited)[["actor", "attempt_id", "at_ms", "limited"]]
-        self.counted.put([(t,) for t in counted])
+        limited = []
+        frame = pd.concat(list(rows)).sort_values(["at_ms", "attempt_id"])
+        for at, invalid in zip(frame["at_ms"], frame["invalid"]):
+            counted = [t for t in counted if at - t < K.INVALID_WINDOW_MS]
+            full = len(counted) >= K.INVALID_LIMIT
+            limited.append(full)
+            if invalid and not full:
+                counted.append(at)
+        if counted:
+            self.counted.put([(t,) for t in counted])
+        else:
+            self.counted.clear()
+        yield frame.assign(limited=limited)[["actor", "attempt_id", "at_ms", "limited"]]
 
     def close(self) -> None:
         pass
