@@ -44,6 +44,42 @@ def test_mail_stream_adds_each_id_once(spark, bundle, tmp_path):
         stream_inbox(spark, bundle, table, checkpoint).awaitTermination(120)
     stream_inbox(spark, bundle, table, str(tmp_path / "cp2")).awaitTermination(120)
     assert [r.email_id for r in spark.read.parquet(table).select("email_id").orderBy("email_id").collect()] == ["email_0"]
+    refused = spark.read.parquet(table + "_refused")
+    assert {(r.file_stem, r.problem) for r in refused.collect()} == {("email_8", "UNREADABLE_JSON"), ("email_9", "IDENTITY_MISMATCH")}
+
+
+def test_stream_rate_limit_survives_valid_attempts_only(spark, tmp_path):
+    src = str(tmp_path / "valid")
+    attempts = spark.createDataFrame([("a", f"x{i}", 1000 * i, False) for i in range(3)] + [("b", "y", 5, True)],
+                                     "actor string, attempt_id string, at_ms long, invalid boolean")
+    attempts.coalesce(1).write.parquet(src)
+    rows = {}
+    q = stream_rate_limit(spark.readStream.schema(attempts.schema).parquet(src)).writeStream.outputMode("append").foreachBatch(
+        lambda b, _: rows.update({r.attempt_id: r.limited for r in b.collect()})).option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert rows == {"x0": False, "x1": False, "x2": False, "y": False}
+
+
+def test_attachments_below_a_folder_of_that_name(spark, tmp_path):
+    root = tmp_path / "attachments" / "in"
+    (root / "attachments").mkdir(parents=True)
+    (root / "attachments" / "late.txt").write_bytes(b"a" * 5000 + b"\x00")
+    files = inbox.read_files(spark, str(root), "participant")
+    row = files.select("path", inbox.detect_format(F.col("content"), F.lit(True)).alias("kind")).collect()
+    assert [tuple(r) for r in row] == [("attachments/late.txt", "unsupported")]
+
+
+def test_ids_of_long_keys_stay_whole(spark, sf_dir, tmp_path):
+    from ladingcheck.plans import shipments
+
+    for name in ("region", "nation", "customer", "supplier"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet").filter(F.col(key) < 20)
+        table.withColumn(key, F.col(key) + 1_234_567_890).write.parquet(str(tmp_path / f"{name}.parquet"))
+    ids = [r.email_id for r in shipments.facts(spark, str(tmp_path)).select("email_id").collect()]
+    assert len(set(ids)) == len(ids) > 0 and all(i.startswith("email_12345678") and len(i) == 16 for i in ids)
 
 
 def test_stream_states_equal_batch(spark, tmp_path, sf_dir):
