@@ -8,10 +8,11 @@
   |x without y| <= r |x|, so the first common shingle of both is among the first floor(r |x|) + 1 of x and of y: the
   window into which x is replicated. The order puts shingles that are frequent in the corpus last (a fixed-size table
   of counts over all documents says which), so shared passages do not make large regions.
-* Level 1 and on: in each region the member of smallest rank is the pivot p, and all distances to p are computed
-  exactly. Members within r are linked with p and so with each other. The rest goes on to the next level, together with
-  those members x of the ball that the triangle inequality leaves open: d(x, p) >= d(y, p) - r for the nearest y outside.
-  A large group of near copies is one or two balls; it is never expanded into pairs.
+* Level 1 and on: in each region the member of smallest rank is the pivot p. Distances to p are computed exactly, or
+  bounded from below by bitmaps where they are surely large. Members within r are linked with p; all that links have
+  connected so far gets a common label. Members of other labels than p's go on to the next level, and of p's own those x
+  that the triangle inequality leaves open: d(x, p) >= d(y, p) - r for the nearest y of another label. A large group
+  of near copies is a ball or two; it is never expanded into pairs.
 
 What is left after PIVOT_LEVELS levels, members of a region that are far from each other, is compared pair by pair.
 Equal sets are one class from the start, so exact copies cost nothing. Nothing is dropped: the result is exact but for
@@ -34,9 +35,12 @@ from ladingcheck.llm.shared import bucketed, stored
 SLOTS = 1 << 18
 #: Slots that are summed as one row.
 BLOCK = 1 << 12
-PIVOT_LEVELS = 3
-#: Bits of a document that tell, for each of as many classes of shingles, whether their number is odd. Every shingle of one
-#: set alone changes one bit, so as many bits as differ, as many shingles at least are not shared: an exact bound.
+PIVOT_LEVELS = 2
+#: Members from which on a region's pivot is measured to all that may be within twice the radius.
+LARGE = 8
+#: Least bits of a document that tell, for each of as many classes of shingles, whether their number is odd; longer
+#: documents have the power of two up to their shingles. Every shingle of one set alone changes one bit, so as many bits
+#: as differ, as many shingles at least are not shared: an exact bound. Half the bits are the halves' exclusive or.
 BITMAP = 1024
 #: Groups over which the members of a pivot are spread.
 SALTS = 64
@@ -87,6 +91,11 @@ def _order_table(documents: DataFrame, width: int) -> np.ndarray:
     return np.minimum(31, np.log2(excess).astype(np.int64)).astype(np.uint8)
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]), pa.int32()),
+                                    pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+
+
 def _prints(width: int, rest: int, whole: int, order) -> object:
     """doc_id, n, two sums that stand for the set, and the first shingles in the order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,21 +106,19 @@ def _prints(width: int, rest: int, whole: int, order) -> object:
                 tokens = (table[_slots(hashes)] << np.uint64(58)) | hashes
                 ends = np.cumsum(counts)
                 n, a, b, heads = np.zeros(rows, np.int64), np.zeros(rows, np.uint64), np.zeros(rows, np.uint64), []
-                marks = np.zeros((rows, BITMAP // 8), np.uint8)
+                marks = []
                 for i in range(rows):
                     own = np.unique(tokens[ends[i] - counts[i]:ends[i]])
                     n[i] = len(own)
                     a[i], b[i] = W.mix(own).sum(), W.mix(own ^ _HASH).sum()
-                    marks[i] = np.packbits(np.bincount((own % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1)
+                    bits = max(BITMAP, 1 << (len(own).bit_length() - 1))
+                    odd = np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+                    marks.append(np.packbits(odd.astype(bool)).view(np.int64))
                     heads.append(own[:rest * len(own) // whole + 1].view(np.int64))
                 yield pa.record_batch({
                     "doc_id": batch.column("doc_id").slice(first, rows), "n_shingles": pa.array(n),
                     "sum_a": pa.array(a.view(np.int64)), "sum_b": pa.array(b.view(np.int64)),
-                    "marks": pa.FixedSizeListArray.from_arrays(pa.array(marks.ravel().view(np.int64)), BITMAP // 64).cast(
-                        pa.list_(pa.int64())),
-                    "head": pa.ListArray.from_arrays(
-                        pa.array(np.concatenate([[0], np.cumsum([len(h) for h in heads])]), pa.int32()),
-                        pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)))})
+                    "marks": _lists(marks), "head": _lists(heads)})
 
     return run
 
@@ -146,21 +153,31 @@ def _overlaps(width: int):
 
 def _apart(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     """pairs with `apart`, the number of bits in which x and p differ."""
-    differ = F.aggregate(F.zip_with("marks_x", "marks_p", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    def level(mine: str, other: str):
+        half = F.floor(F.size(mine) / 2).cast("int")
+        folded = F.zip_with(F.slice(mine, F.lit(1), half), F.slice(mine, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(mine) > F.size(other), folded).otherwise(F.col(mine))
+
+    # Sets of sizes that can link differ by less than a factor of two, so one folding makes their bitmaps equally long.
+    differ = F.aggregate(F.zip_with(level("marks_x", "marks_p"), level("marks_p", "marks_x"),
+                                    lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
     named = lambda id_: marks.select(F.col("doc_id").alias(id_), F.col("marks").alias(f"marks_{id_}"))
     return pairs.join(named("x"), "x").join(named("p"), "p").withColumn("apart", differ.cast("long")).drop("marks_x", "marks_p")
 
 
-def _measured(pairs: DataFrame, marks: DataFrame, texts: DataFrame, width: int, part: int, whole: int) -> DataFrame:
-    """x, p, shared of pairs (x, p, n, n_p): what the sets share, or for pairs that differ in too many bits the most they can.
+def _measured(pairs: DataFrame, marks: DataFrame, texts: DataFrame, width: int, part: int, whole: int, rows: int) -> DataFrame:
+    """x, p, shared, exact of pairs (x, p, n, n_p, wide): what the sets share, or the most they can (not exact).
 
-    Texts lie in buckets by id, so only the narrow pairs move to them; then both texts of a pair meet in a group of one
+    Exact are the pairs that may be linked by their bitmaps, and wide pairs that may be within twice the radius. Texts lie
+    in buckets by id, so only the narrow pairs move to them; then both texts of a pair meet in a group of one
     pivot and a salt of x, so that a pivot of many members fills no task.
     """
-    bounded = stored(_apart(pairs, marks).select("x", "p", F.floor((F.col("n") + F.col("n_p") - F.col("apart")) / 2).alias("shared"), (
-        (whole + part) * (F.col("n") + F.col("n_p") - F.col("apart")) >= 2 * part * (F.col("n") + F.col("n_p"))).alias("open")), "apart")
-    exact = _overlaps_of(bounded.where("open").select("x", "p"), texts, width)
-    return bounded.where("not open").select("x", "p", "shared").unionAll(exact)
+    most, both = F.floor((F.col("n") + F.col("n_p") - F.col("apart")) / 2), F.col("n") + F.col("n_p")
+    near = (whole + part) * most >= part * both
+    wide = F.col("wide") & (whole * (both - 2 * most) <= 2 * (whole - part) * (both - most))
+    bounded = stored(_apart(pairs, marks).select("x", "p", most.alias("shared"), (near | wide).alias("exact")), "apart", rows)
+    exact = _overlaps_of(bounded.where("exact").select("x", "p"), texts, width)
+    return bounded.where("not exact").unionAll(exact.withColumn("exact", F.lit(True)))
 
 
 def _overlaps_of(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -173,10 +190,20 @@ def _overlaps_of(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return found.groupBy("x", "p").agg(F.max("shared").alias("shared"))  # an id may stand in several rows
 
 
-def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """doc_id, component: the smallest id reachable. Labels go to neighbours, then to the label's own label."""
-    both = stored(links.select("a", "b").unionAll(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    labels = stored(both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+def _labels(links: DataFrame) -> DataFrame:
+    """doc_id, label of every linked document: the smallest id reachable over links (a, b).
+
+    All other ends of a document's links are first tied to its smallest one, which leaves about one link a document. Then labels
+    go to neighbours, and on to the label's own label, until none changes.
+    """
+    links = links.distinct()
+    least = links.groupBy("b").agg(F.min("a").alias("m"))
+    tied = links.join(least, "b").where("a <> m").select("a", F.col("m").alias("b")).distinct()
+    few = least.select(F.col("m").alias("a"), "b").unionAll(tied)
+    both = stored(few.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+                  .select("e.*"), "both")
+    n = both.count()
+    labels = stored(both.groupBy(F.col("a").alias("doc_id")).agg(F.min(F.least("a", "b")).alias("label")), "labels", n)
     while True:
         near = (both.join(labels.withColumnRenamed("doc_id", "b"), "b").groupBy(F.col("a").alias("doc_id"))
                 .agg(F.min("label").alias("near")))
@@ -184,12 +211,11 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             "doc_id", F.least("label", "near").alias("next"), F.col("label").alias("old"))
         jump = labels.select(F.col("doc_id").alias("next"), F.col("label").alias("far"))
         new = stored(step.join(jump, "next", "left").select(
-            "doc_id", F.least("next", "far").alias("label"), "old"), "labels")
+            "doc_id", F.least("next", "far").alias("label"), "old"), "labels", n)
         changed = new.where("label <> old").limit(1).count()
         labels = new.drop("old")
         if not changed:
-            return nodes.join(labels, "doc_id", "left").select(
-                "doc_id", F.coalesce("label", "doc_id").alias("component"))
+            return labels
 
 
 def ngram_jaccard(documents: DataFrame, width: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
@@ -200,6 +226,8 @@ def ngram_jaccard(documents: DataFrame, width: int = 5, part: int = 80, whole: i
     repeated doc_ids are fine (rows of one id with different texts are linked only if their sets are; the id's component
     is then the smaller). Columns other than doc_id and text are not read; rows without doc_id take no part.
     """
+    if 2 * part < whole:
+        raise ValueError("a similarity below one half is not supported")
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     order = spark.sparkContext.broadcast(_order_table(docs, width))
@@ -216,62 +244,74 @@ def ngram_jaccard(documents: DataFrame, width: int = 5, part: int = 80, whole: i
     size = F.count(F.lit(1)).alias("members")
     shared = heads.groupBy("s").agg(size).where("members > 1").select("s")
     region = stored(heads.join(shared, "s").withColumn("outer", F.lit(True)), "shared")
+    n_region = region.count()
     # Of a pair's regions the first in the order leaves at most the shingles from there on to share. A region of two that
     # could not be the first of a linked pair has nothing to do.
     open_regions = region.groupBy("s").agg(
         size, F.min("n").alias("low"), F.max("n").alias("high"), F.min("left").alias("left"), F.sum("n").alias("both"),
         F.min("x").alias("x"), F.max("x").alias("p"))
     open_regions = stored(open_regions.where((F.col("members") > 2) | (whole * F.col("low") >= part * F.col("high")) & (
-        (whole + part) * F.col("left") >= part * F.col("both"))), "open")
+        (whole + part) * F.col("left") >= part * F.col("both"))), "open", n_region)
     marks = stored(prints.where("n_shingles > 0").select("doc_id", "n_shingles", "marks").join(reps, ["doc_id", "n_shingles"])
                    .select("doc_id", "marks"), "marks")
     near_two = _apart(open_regions.where("members = 2").select("x", "p", "both").distinct(), marks).where(
         (whole + part) * (F.col("both") - F.col("apart")) >= 2 * part * F.col("both")).select("x", "p")
     still = open_regions.where("members > 2").select("s").unionAll(
         open_regions.where("members = 2").join(near_two, ["x", "p"]).select("s"))
-    region = stored(region.join(still, "s"), "regions")
+    region = stored(region.join(still, "s"), "regions", n_region)
     wanted = region.select(F.col("x").alias("doc_id")).distinct()
     texts = bucketed(docs.join(wanted, "doc_id", "left_semi"), "doc_id", "texts")
-    links = []
+    links = None
     rank = F.struct(~F.col("outer"), F.xxhash64("x"), "x", "n", "left")
     # Sizes, and what is left from the region's shingle on if it is the first that both share. A pair that fails is not
     # linked or has its first region elsewhere; its distance then counts as the least that the sizes allow.
-    could_link = (whole * F.least("n", "n_p") >= part * F.greatest("n", "n_p")) & (
+    sizes_fit = whole * F.least("n", "n_p") >= part * F.greatest("n", "n_p")
+    could_link = sizes_fit & (
         (whole + part) * F.least("left", "left_p") >= part * (F.col("n") + F.col("n_p")))
     for level in range(PIVOT_LEVELS):
         pivots = region.groupBy("s").agg(size, F.min(rank).alias("first")).where("members > 1").select(
-            "s", F.col("first.x").alias("p"), F.col("first.n").alias("n_p"), F.col("first.left").alias("left_p"))
-        near = stored(region.join(pivots, "s"), f"level{level}")
-        fits = (F.col("x") != F.col("p")) & could_link
-        measured = stored(_measured(near.where(fits).select("x", "p", "n", "n_p").distinct(), marks, texts, width, part, whole), "measured")
-        union = F.col("n") + F.col("n_p") - F.col("shared")
-        far = near.where("x <> p").join(measured, ["x", "p"], "left").withColumn("linked", F.coalesce(
-            whole * F.col("shared") >= part * union, F.lit(False))).withColumn("d", F.coalesce(
-                1 - F.col("shared") / union, 1 - F.least("n", "n_p") / F.greatest("n", "n_p")))
-        far = stored(far, f"far{level}")
-        links.append(far.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b")).distinct())
-        outside = far.where(~F.col("linked")).groupBy("s").agg(F.min("d").alias("d_out"))
+            "s", "members", F.col("first.x").alias("p"), F.col("first.n").alias("n_p"), F.col("first.left").alias("left_p"))
+        n_region = region.count()
+        near = stored(region.drop("label").join(pivots, "s"), f"level{level}", n_region)
+        large = F.col("members") > LARGE
+        asked = near.where((F.col("x") != F.col("p")) & sizes_fit & (could_link | large)).groupBy("x", "p", "n", "n_p").agg(
+            F.max(large).alias("wide"))
+        measured = _measured(asked, marks, texts, width, part, whole, n_region)
+        union, exact = F.col("n") + F.col("n_p") - F.col("shared"), F.coalesce("exact", F.lit(False))
+        far = near.where("x <> p").join(measured, ["x", "p"], "left").select(
+            "s", "x", "p", "n", "left", (exact & (whole * F.col("shared") >= part * union)).alias("linked"),
+            F.coalesce(1 - F.col("shared") / union, 1 - F.least("n", "n_p") / F.greatest("n", "n_p")).alias("least_d"),
+            F.when(exact, 1 - F.col("shared") / union).otherwise(F.lit(1.0)).alias("most_d"))
+        far = stored(far, f"far{level}", n_region)
+        new = far.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
+        links = new if links is None else links.unionAll(new)
+        labels = _labels(links)
+        for id_ in ("x", "p"):
+            far = far.join(labels.select(F.col("doc_id").alias(id_), F.col("label").alias(f"label_{id_}")), id_, "left").withColumn(
+                f"label_{id_}", F.coalesce(f"label_{id_}", id_))
+        # Members that are not connected with the pivot stay; those that are stay if a link to one of them is possible.
+        outer = F.col("label_x") != F.col("label_p")
+        outside = far.where(outer).groupBy("s").agg(F.min("least_d").alias("d_out"))
         # A little slack on the window keeps rounding from closing it.
-        open_ = ~F.col("linked") | (F.col("d") >= F.col("d_out") - (whole - part) / whole - 1e-9)
+        open_ = outer | (F.col("most_d") >= F.col("d_out") - (whole - part) / whole - 1e-9)
         region = stored(far.join(outside, "s").where(open_).select(
-            "s", "x", "n", "left", (~F.col("linked")).alias("outer")), "regions")
+            "s", "x", "n", "left", F.col("label_x").alias("label"), outer.alias("outer")), "regions", n_region)
         if (region.groupBy("s").agg(size).agg(F.max("members")).first()[0] or 0) <= SMALL:
             break
     other = region.select("s", F.col("x").alias("p"), F.col("n").alias("n_p"), F.col("left").alias("left_p"),
-                          F.col("outer").alias("outer_p"))
+                          F.col("label").alias("label_p"))
     pairs = region.join(other, "s").where(
-        (F.col("x") < F.col("p")) & (F.col("outer") | F.col("outer_p"))
-        & could_link).select("x", "p", "n", "n_p").distinct()
+        (F.col("x") < F.col("p")) & (F.col("label") != F.col("label_p"))
+        & could_link).select("x", "p", "n", "n_p", F.lit(False).alias("wide")).distinct()
     pairs = stored(pairs, "pairs")
-    found = pairs.join(_measured(pairs, marks, texts, width, part, whole), ["x", "p"])
-    links.append(found.where(whole * F.col("shared") >= part * (F.col("n") + F.col("n_p") - F.col("shared"))).select(
-        F.col("p").alias("a"), F.col("x").alias("b")))
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.unionAll(more)
-    component = _components(reps.select("doc_id"), edges).withColumnRenamed("doc_id", "rep")
+    found = pairs.join(_measured(pairs, marks, texts, width, part, whole, pairs.count()), ["x", "p"])
+    more = found.where(whole * F.col("shared") >= part * (F.col("n") + F.col("n_p") - F.col("shared"))).select(
+        F.col("p").alias("a"), F.col("x").alias("b"))
+    # What the levels have connected stands for its documents: only links between their labels are new.
+    final = _labels(labels.where("doc_id <> label").select(F.col("label").alias("a"), F.col("doc_id").alias("b")).unionAll(more))
+    component = final.select(F.col("doc_id").alias("rep"), F.col("label").alias("component"))
     return members.join(component, "rep", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
 def one_of_each(documents: DataFrame, width: int = 5, part: int = 80, whole: int = 100) -> DataFrame:

@@ -21,9 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write the rows to shared storage once and read them from there."""
+#: Narrow rows that a task writes where their number is known beforehand.
+ROWS_A_FILE = 50_000
+
+
+def stored(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write the rows to shared storage once and read them from there.
+
+    rows: an upper bound of the number of rows, if known; small tables then make few files.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(-(-rows // ROWS_A_FILE) or 1)
     path = f"{shared_dir(spark)}/llm/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
