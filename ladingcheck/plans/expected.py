@@ -280,8 +280,20 @@ SELECT email_id AS case_id, '{"category":"' || category || '","defect_fields":['
   coalesce('"' || review_reason || '"', 'null') || ',"status":"' || status || '"}' AS body
 FROM res WHERE run_kind = 'EVAL'"""),
         "s13_manifest": _with(_CASES, """
+, l0 AS (SELECT case_id AS id, 1 AS n, sha256(case_id || chr(10) || body) AS h FROM (
+SELECT email_id AS case_id, '{"category":"' || category || '","defect_fields":[' ||
+  CASE WHEN wrong IS NULL THEN '' ELSE '"' || replace(wrong, ',', '","') || '"' END || '],"has_defect":' ||
+  CASE WHEN has_defect THEN 'true' ELSE 'false' END || ',"review_reason":' ||
+  coalesce('"' || review_reason || '"', 'null') || ',"status":"' || status || '"}' AS body
+FROM res WHERE run_kind = 'EVAL')),
+l1 AS (SELECT left(id, greatest(length(id) - 3, 0)) AS id, sum(n) AS n, sha256(string_agg(h, '' ORDER BY id)) AS h
+  FROM l0 GROUP BY left(id, greatest(length(id) - 3, 0))),
+l2 AS (SELECT left(id, greatest(length(id) - 3, 0)) AS id, sum(n) AS n, sha256(string_agg(h, '' ORDER BY id)) AS h
+  FROM l1 GROUP BY left(id, greatest(length(id) - 3, 0))),
+l3 AS (SELECT left(id, greatest(length(id) - 3, 0)) AS id, sum(n) AS n, sha256(string_agg(h, '' ORDER BY id)) AS h
+  FROM l2 GROUP BY left(id, greatest(length(id) - 3, 0)))
 SELECT '2.1.1' AS schema_version, 'EVAL' AS run_kind, 'v1' AS input_version, 'v1' AS config_version,
-  count(*) AS total_cases, 64 AS sha256 FROM res WHERE run_kind = 'EVAL'"""),
+  sum(n)::BIGINT AS total_cases, sha256(string_agg(h, '' ORDER BY id)) AS sha256 FROM l3"""),
         "s14_report_csv": _with(_FIELDS, """
 SELECT r.email_id AS case_id, r.category, r.workflow_status AS workflow, r.status,
   CAST(CAST(trunc(coalesce(o.overall_confidence, 1.0) * 100) AS INTEGER) AS VARCHAR) || '%' AS overall_confidence, r.follow_up,

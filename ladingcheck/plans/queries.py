@@ -283,7 +283,7 @@ def audit_ready(spark, sf_dir):
 
 @query
 def s13_manifest(spark, sf_dir):
-    return sinks.manifest(audit_ready(spark, sf_dir), "EVAL").withColumn("sha256", F.length("sha256"))
+    return sinks.manifest(audit_ready(spark, sf_dir), "EVAL")
 
 
 @query

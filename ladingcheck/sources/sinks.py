@@ -43,25 +43,30 @@ def write_submission_object(cases: DataFrame, path: str) -> None:
     lines.crossJoin(F.broadcast(ends)).orderBy("case_id").select(text.alias("value")).write.mode("overwrite").text(path)
 
 
-def payload_digest(cases: DataFrame, buckets: int = 1024) -> DataFrame:
-    """One row: total and a SHA-256 over all entries that does not depend on layout.
+#: Characters of an id that one level of the digest folds; a group is the ids that differ in these only.
+DIGEST_STEP = 3
 
-    Entries are hashed one by one, then per bucket of the hash, then over buckets,
-    so no task sees more than its bucket and the last one sees ``buckets`` hashes.
+
+def payload_digest(cases: DataFrame, levels: int = 3) -> DataFrame:
+    """One row: total and a SHA-256 over all entries in id order that does not depend on layout.
+
+    Entries are hashed one by one; ids that share all but their last characters form a group whose hashes are hashed in id
+    order, and so on ``levels`` times, so no task sees more than the ids that differ in DIGEST_STEP characters, and
+    the last hash runs over the groups that are left.
     """
-    entry = F.sha2(F.concat_ws("\x00", "case_id", "body").cast("binary"), 256)
-    hashed = submission_lines(cases).select(entry.alias("h"))
-    first = hashed.withColumn("cell", F.left("h", F.lit(8)))
-    cells = first.groupBy("cell").agg(
-        F.count("*").alias("n"),
-        F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "").cast("binary"), 256).alias("h"))
-    per_bucket = cells.groupBy(F.pmod(F.xxhash64("cell"), F.lit(buckets)).alias("b")).agg(
-        F.sum("n").alias("n"), F.bit_xor(F.conv(F.left("h", F.lit(15)), 16, 10).cast("bigint")).alias("x1"),
-        F.bit_xor(F.conv(F.substring("h", 16, 15), 16, 10).cast("bigint")).alias("x2"))
-    return per_bucket.agg(
-        F.sum("n").alias("total_cases"),
-        F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(
-            ":", F.lpad("b", 6, "0"), "x1", "x2"))), "|").cast("binary"), 256).alias("sha256"))
+    hashed = submission_lines(cases).select(
+        F.col("case_id").alias("id"), F.lit(1).cast("bigint").alias("n"),
+        F.sha2(F.concat_ws("\n", "case_id", "body").cast("binary"), 256).alias("h"))
+
+    def folded() -> tuple[Column, Column]:
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("id", "h"))), lambda e: e["h"])
+        return F.sum("n").alias("n"), F.sha2(F.array_join(ordered, "").cast("binary"), 256).alias("h")
+
+    for _ in range(levels):
+        shorter = F.left("id", F.greatest(F.length("id") - DIGEST_STEP, F.lit(0)))
+        hashed = hashed.withColumn("group", shorter).groupBy("group").agg(*folded()).withColumnRenamed("group", "id")
+    total, digest = folded()
+    return hashed.agg(total.alias("total_cases"), digest.alias("sha256"))
 
 
 def manifest(cases: DataFrame, run_kind: str, input_version: str = "v1", config_version: str = "v1") -> DataFrame:
