@@ -5,6 +5,8 @@ No text is parsed here: results follow from order columns and the injection rule
 
 from __future__ import annotations
 
+import re
+
 from ladingcheck import constants as K
 
 _FACTS = """
@@ -231,7 +233,9 @@ def _flag(key: str, values: dict, column: int) -> str:
 
 
 def _with(ctes: str, select: str) -> str:
-    return f"WITH {ctes.strip()}\n{select}"
+    """The tables are named more than once each, so each is made once."""
+    made_once = re.sub(r"(?m)^(\w+) AS \(", r"\1 AS MATERIALIZED (", ctes.strip())
+    return f"WITH {made_once}\n{select}"
 
 
 def oracle_sql() -> dict[str, str]:
