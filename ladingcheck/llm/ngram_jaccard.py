@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ladingcheck.llm import words as W
@@ -218,6 +218,22 @@ def _labels(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _with_common_pivots(near: DataFrame, large: Column, rows: int) -> DataFrame:
+    """near with one pivot for as many large regions as possible, so that a document is measured to few pivots.
+
+    A pivot is a point of reference and need not be in the region. Each document of large regions names the first, in
+    hash order, of their pivots; a region takes the one that most of its members name.
+    """
+    near = stored(near, "near", rows)
+    many = near.where(large)
+    named = many.groupBy("x").agg(F.min(F.struct(F.xxhash64("p"), "p", "n_p")).alias("own")).select(
+        "x", F.struct("own.p", "own.n_p").alias("own"))
+    votes = many.select("s", "x").join(named, "x").groupBy("s", "own").agg(F.count(F.lit(1)).alias("votes"))
+    common = votes.groupBy("s").agg(F.max_by("own", F.struct("votes", "own")).alias("own"))
+    return near.join(common, "s", "left").withColumn("p", F.coalesce("own.p", "p")).withColumn(
+        "n_p", F.coalesce("own.n_p", "n_p")).drop("own")
+
+
 def ngram_jaccard(documents: DataFrame, width: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; links: whole * |x and y| >= part * |x or y|.
 
@@ -272,8 +288,8 @@ def ngram_jaccard(documents: DataFrame, width: int = 5, part: int = 80, whole: i
         pivots = region.groupBy("s").agg(size, F.min(rank).alias("first")).where("members > 1").select(
             "s", "members", F.col("first.x").alias("p"), F.col("first.n").alias("n_p"), F.col("first.left").alias("left_p"))
         n_region = region.count()
-        near = stored(region.drop("label").join(pivots, "s"), f"level{level}", n_region)
         large = F.col("members") > LARGE
+        near = stored(_with_common_pivots(region.drop("label").join(pivots, "s"), large, n_region), f"level{level}", n_region)
         asked = near.where((F.col("x") != F.col("p")) & sizes_fit & (could_link | large)).groupBy("x", "p", "n", "n_p").agg(
             F.max(large).alias("wide"))
         measured = _measured(asked, marks, texts, width, part, whole, n_region)
