@@ -111,7 +111,7 @@ def _prints(width: int, rest: int, whole: int, order) -> object:
                     own = np.unique(tokens[ends[i] - counts[i]:ends[i]])
                     n[i] = len(own)
                     a[i], b[i] = W.mix(own).sum(), W.mix(own ^ _HASH).sum()
-                    bits = max(BITMAP, 1 << (len(own).bit_length() - 1))
+                    bits = max(BITMAP, 1 << len(own).bit_length() >> 1)
                     odd = np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
                     marks.append(np.packbits(odd.astype(bool)).view(np.int64))
                     heads.append(own[:rest * len(own) // whole + 1].view(np.int64))
