@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ladingcheck.llm import words as W
 from ladingcheck.llm.shared import bucketed, stored
@@ -226,9 +227,9 @@ def _with_common_pivots(near: DataFrame, large: Column, rows: int) -> DataFrame:
     """
     near = stored(near, "near", rows)
     many = near.where(large)
-    named = many.groupBy("x").agg(F.min(F.struct(F.xxhash64("p"), "p", "n_p")).alias("own")).select(
-        "x", F.struct("own.p", "own.n_p").alias("own"))
-    votes = many.select("s", "x").join(named, "x").groupBy("s", "own").agg(F.count(F.lit(1)).alias("votes"))
+    first = F.min(F.struct(F.xxhash64("p"), "p", "n_p")).over(Window.partitionBy("x"))  # a document's own regions
+    votes = many.select("s", first.alias("first")).groupBy("s", F.struct("first.p", "first.n_p").alias("own")).agg(
+        F.count(F.lit(1)).alias("votes"))
     common = votes.groupBy("s").agg(F.max_by("own", F.struct("votes", "own")).alias("own"))
     return near.join(common, "s", "left").withColumn("p", F.coalesce("own.p", "p")).withColumn(
         "n_p", F.coalesce("own.n_p", "n_p")).drop("own")
