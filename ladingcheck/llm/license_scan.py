@@ -8,6 +8,7 @@ counted on words apart from that and always stay.
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -33,13 +34,13 @@ _NAMED = {
     "artistic-1.0": ("artistic license 1\\.0", "artistic-1\\.0(?:-perl|-cl8)?", "opensource.org/licenses/artistic-license-1"),
     "artistic-2.0": ("artistic license 2\\.0", "artistic-2\\.0", "opensource.org/licenses/artistic-license-2"),
     "beerware": ("beerware license", "beerware", "people.freebsd.org/~phk/license"),
-    "bsd-2-clause": ("(?:simplified|freebsd|2[ -]clause) bsd license", "bsd-2-clause(?:-patent|-views)?", "opensource.org/licenses/bsd-2-clause"),
-    "bsd-3-clause": ("(?:new|revised|modified|3[ -]clause) bsd license", "bsd-3-clause(?:-clear|-lbnl)?", "opensource.org/licenses/bsd-3-clause"),
-    "bsd-4-clause": ("(?:original|old|4[ -]clause) bsd license", "bsd-4-clause(?:-uc)?", "directory.fsf.org/wiki/license:bsd-4clause"),
-    "0bsd": ("(?:zero[ -]clause|free public) bsd license", "0bsd", "opensource.org/licenses/0bsd"),
+    "bsd-2-clause": ("(?:(?:simplified|freebsd|2[ -]clause) bsd|bsd 2[ -]clause(?: \"?simplified\"?)?) license", "bsd-2-clause(?:-patent|-views)?", "opensource.org/licenses/bsd-2-clause"),
+    "bsd-3-clause": ("(?:(?:new|revised|modified|3[ -]clause) bsd|bsd 3[ -]clause(?: \"?new\"? or \"?revised\"?)?) license", "bsd-3-clause(?:-clear|-lbnl)?", "opensource.org/licenses/bsd-3-clause"),
+    "bsd-4-clause": ("(?:(?:original|old|4[ -]clause) bsd|bsd 4[ -]clause(?: \"?original\"? or \"?old\"?)?) license", "bsd-4-clause(?:-uc)?", "directory.fsf.org/wiki/license:bsd-4clause"),
+    "0bsd": ("(?:(?:zero[ -]clause|free public) bsd|bsd zero[ -]clause) license", "0bsd", "opensource.org/licenses/0bsd"),
     "bsl-1.0": ("boost software license", "bsl-1\\.0", "boost.org/license_1_0"),
     "busl-1.1": ("business source license", "busl-1\\.1", "mariadb.com/bsl11"),
-    "cc0-1.0": ("(?:cc0|creative commons zero)(?: universal)?(?: 1\\.0)? license", "cc0-1\\.0", "creativecommons.org/publicdomain/zero"),
+    "cc0-1.0": ("(?:cc0|creative commons zero)(?: v?1\\.0)?(?: universal)?(?: 1\\.0)? license", "cc0-1\\.0", "creativecommons.org/publicdomain/zero"),
     "cc-by-4.0": ("creative commons attribution(?: 4\\.0)? international license", "cc-by-[1234]\\.[05]", "creativecommons.org/licenses/by/"),
     "cc-by-sa-4.0": ("creative commons attribution[ -]share ?alike", "cc-by-sa-[1234]\\.[05]", "creativecommons.org/licenses/by-sa/"),
     "cc-by-nc-4.0": ("creative commons attribution[ -]non ?commercial", "cc-by-nc-[1234]\\.[05]", "creativecommons.org/licenses/by-nc/"),
@@ -67,7 +68,7 @@ _NAMED = {
     "lgpl-2.0": ("gnu library general public license", "lgpl-2\\.0(?:-only|-or-later|\\+)?", "gnu.org/licenses/old-licenses/lgpl-2.0"),
     "lgpl-2.1": ("gnu lesser general public license,? version 2\\.1", "lgpl-2\\.1(?:-only|-or-later|\\+)?", "gnu.org/licenses/old-licenses/lgpl-2.1"),
     "lgpl-3.0": ("gnu lesser general public license,? version 3", "lgpl-3\\.0(?:-only|-or-later|\\+)?", "gnu.org/licenses/lgpl-3"),
-    "llvm-exception": ("llvm exceptions? to the apache license", "(?:apache-2\\.0 with )?llvm-exception", "llvm.org/license"),
+    "llvm-exception": ("llvm exceptions? to the apache(?: 2\\.0)? license", "(?:apache-2\\.0 with )?llvm-exception", "llvm.org/license"),
     "lppl-1.3c": ("latex project public license", "lppl-1\\.[0123][ac]?", "latex-project.org/lppl"),
     "miros": ("miros licen[cs]e", "miros", "opensource.org/licenses/miros"),
     "mit-0": ("mit no attribution license", "mit-0", "opensource.org/licenses/mit-0"),
@@ -154,12 +155,17 @@ def _keyword(name: str) -> str:
     return "agreement" if "agreement" in name and "licen" not in name else "creative" if name.startswith("creative") else "licen"
 
 
+def _spaced(name: str, between: str) -> str:
+    """The pattern with its blanks as runs of the class `between`: an optional blank may be empty, a class of blank and hyphen is one blank."""
+    return re.sub(r"\[ -\]| (\?)?", lambda m: f"[{between}]{'*' if m[1] else '+'}", name)
+
+
 def _rules() -> list[tuple[int, str, str, str]]:
     """Rank (1 first), label, keyword, pattern."""
     out = []
     for label, (name, spdx, address) in _NAMED.items():
         out.append((1, label, "spdx", f"spdx-license-identifier:\\s*(?:{spdx})(?:[^a-z0-9.+-]|$)"))
-        out.append((2, label, _keyword(name), "\\b(?:" + name.replace(" ", "[\\s_-]+") + ")\\b"))
+        out.append((2, label, _keyword(name), "\\b(?:" + _spaced(name, "\\s_-") + ")\\b"))
         out.append((3, label, next((s for s in STEMS if s in address), address), "\\b" + address.replace(".", "\\.")))
     out += [(2 if "-" in label else 3 if label not in ("copyright-notice", "license-reference", "warranty-disclaimer", "see-license")
              else 4, label, key, pattern.replace(" ", "\\s+")) for label, key, pattern in _NOTICES]

@@ -145,6 +145,60 @@ def test_every_license_keyword_has_a_stem():
     assert all(any(s in key for s in license_scan.STEMS) for _, _, key, _ in license_scan.RULES)
 
 
+#: One official spelling of each named license, and more for those that are written in several ways.
+OFFICIAL = [
+    ("afl-3.0", "Academic Free License"), ("agpl-3.0", "GNU Affero General Public License"),
+    ("apache-1.1", "Apache Software License, Version 1.1"), ("apache-2.0", "Apache License, Version 2.0"),
+    ("artistic-1.0", "Artistic License 1.0"), ("artistic-2.0", "Artistic License 2.0"), ("beerware", "Beerware License"),
+    ("bsd-2-clause", 'BSD 2-Clause "Simplified" License'), ("bsd-2-clause", "2-Clause BSD License"),
+    ("bsd-3-clause", 'BSD 3-Clause "New" or "Revised" License'), ("bsd-3-clause", "3-Clause BSD License"),
+    ("bsd-4-clause", 'BSD 4-Clause "Original" or "Old" License'), ("0bsd", "BSD Zero Clause License"), ("0bsd", "Zero-Clause BSD License"),
+    ("bsl-1.0", "Boost Software License"), ("busl-1.1", "Business Source License"),
+    ("cc0-1.0", "Creative Commons Zero v1.0 Universal License"),
+    ("cc-by-4.0", "Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-sa-4.0", "Creative Commons Attribution Share Alike 4.0 International"),
+    ("cc-by-nc-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nd-4.0", "Creative Commons Attribution-NoDerivs 3.0 Unported"),
+    ("cc-by-nd-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-sa-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nc-nd-4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("cddl-1.0", "Common Development and Distribution License"), ("cecill-2.1", "CeCILL Free Software License Agreement"),
+    ("cpl-1.0", "Common Public License"), ("ecl-2.0", "Educational Community License"), ("efl-2.0", "Eiffel Forum License"),
+    ("elastic-2.0", "Elastic License 2.0"), ("epl-1.0", "Eclipse Public License - v 1.0"), ("epl-1.0", "Eclipse Public License v1.0"),
+    ("epl-2.0", "Eclipse Public License - v 2.0"), ("epl-2.0", "Eclipse Public License v2.0"),
+    ("eupl-1.2", "European Union Public Licence"), ("gfdl-1.3", "GNU Free Documentation License"),
+    ("gpl-1.0", "GNU General Public License, version 1"), ("gpl-2.0", "GNU General Public License, version 2"),
+    ("gpl-3.0", "GNU General Public License version 3"), ("hpnd", "Historical Permission Notice and Disclaimer"),
+    ("intel", "Intel Open Source License"), ("ipl-1.0", "IBM Public License"), ("isc", "ISC License"), ("json", "JSON License"),
+    ("lgpl-2.0", "GNU Library General Public License"), ("lgpl-2.1", "GNU Lesser General Public License, version 2.1"),
+    ("lgpl-3.0", "GNU Lesser General Public License, version 3"), ("llvm-exception", "LLVM Exceptions to the Apache 2.0 License"),
+    ("lppl-1.3c", "LaTeX Project Public License"), ("miros", "MirOS Licence"), ("mit-0", "MIT No Attribution License"),
+    ("mit", "MIT License"), ("mpl-1.1", "Mozilla Public License Version 1.1"), ("mpl-2.0", "Mozilla Public License Version 2.0"),
+    ("mpl-2.0", "Mozilla Public License, v. 2.0"), ("mpl-2.0", "Mozilla Public License v2.0"), ("ms-pl", "Microsoft Public License"),
+    ("ms-rl", "Microsoft Reciprocal License"), ("mulanpsl-2.0", "Mulan Permissive Software License"),
+    ("nasa-1.3", "NASA Open Source Agreement"), ("ncsa", "University of Illinois Open Source License"),
+    ("npl-1.1", "Netscape Public License"), ("odbl-1.0", "Open Database License"), ("odc-by-1.0", "Open Data Commons Attribution License"),
+    ("ofl-1.1", "SIL Open Font License"), ("openssl", "OpenSSL License"), ("osl-3.0", "Open Software License"),
+    ("pddl-1.0", "Open Data Commons Public Domain Dedication and License"), ("php-3.01", "PHP License"),
+    ("polyform-nc", "PolyForm Noncommercial License"), ("postgresql", "PostgreSQL License"), ("psf-2.0", "Python Software Foundation License"),
+    ("qpl-1.0", "Q Public License"), ("rpl-1.5", "Reciprocal Public License"), ("ruby", "Ruby License"), ("sleepycat", "Sleepycat License"),
+    ("sspl-1.0", "Server Side Public License"), ("unicode-dfs", "Unicode License Agreement"), ("unlicense", "The Unlicense"),
+    ("upl-1.0", "Universal Permissive License"), ("vim", "Vim License"), ("w3c", "W3C Software Notice and License"),
+    ("wtfpl", "Do What The F*ck You Want To Public License"), ("x11", "X11 License"), ("zlib", "zlib License"),
+    ("zpl-2.1", "Zope Public License")]
+
+
+def test_every_license_name_is_found_as_it_is_written(spark):
+    # In _rules() the name rule of a license is the one between its identifier and its address.
+    name_rules = [b for a, b, c in zip(license_scan.RULES, license_scan.RULES[1:], license_scan.RULES[2:])
+                  if (a[0], b[0], c[0]) == (1, 2, 3) and a[1] == b[1] == c[1]]
+    assert {r[1] for r in name_rules} == {label for label, _ in OFFICIAL} and len(name_rules) > 70
+    got = {(r["doc_id"], r["label"]) for r in license_scan.license_spans(
+        frame(spark, [f"under the {name}." for _, name in OFFICIAL]), name_rules).collect()}
+    assert [OFFICIAL[i] for i in range(len(OFFICIAL)) if (i, OFFICIAL[i][0]) not in got] == []
+
+
 def test_license_scan_empty_and_repeated(spark):
     assert license_scan.license_scan(frame(spark, []).limit(0)).count() == 0
     docs = spark.createDataFrame([(1, "mit license"), (1, "mit license"), (1, "cc by"), (None, "mit license")],
