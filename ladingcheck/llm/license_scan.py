@@ -20,9 +20,12 @@ from ladingcheck.llm.shared import ascii_lower
 #: Phrase and label; the words of a phrase stand consecutively.
 BASE = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
 
-#: Every keyword contains one of these; addresses without one are added below.
-STEMS = ["licen", "copyright", "copyleft", "spdx", "public domain", "creative", "gpl", "warranty", "redistrib", "all rights",
-         "cc0", "cc by", "cc-by", "agreement", "opensource.org", "gnu.org", "apache.org", "permission"]
+#: Every keyword contains one of these; keywords without one are added below. No blanks: a text may be wrapped at any of them.
+STEMS = ["licen", "copyright", "copyleft", "spdx", "domain", "creative", "gpl", "warranty", "redistrib", "reserved",
+         "cc0", "cc", "agreement", "opensource.org", "gnu.org", "apache.org", "permission"]
+
+#: A stem that is too short to gate by itself, with what follows it in every match.
+FOLLOWED = {"cc": r"cc[\s_0-]"}
 
 # Licenses by label: how the name is written (words; a blank stands for white space, hyphen or underscore), the SPDX
 # identifier, and a part of the address of the text.
@@ -107,49 +110,49 @@ _NAMED = {
     "zpl-2.1": ("zope public license", "zpl-[12]\\.[01]", "opensource.org/licenses/zpl"),
 }
 
-# Sentences of license texts and notices: label, keyword, pattern.
+# Sentences of license texts and notices: label, keyword (a single word that every match holds), pattern.
 _NOTICES = [
-    ("gpl-or-later", "general public", "gnu general public license as published by the free software foundation[;,] either version [123] of the license, or \\(at your option\\) any later version"),
-    ("gpl", "general public", "gnu general public license"),
-    ("lgpl", "lesser general", "gnu lesser general public license"),
+    ("gpl-or-later", "gnu", "gnu general public license as published by the free software foundation[;,] either version [123] of the license, or \\(at your option\\) any later version"),
+    ("gpl", "gnu", "gnu general public license"),
+    ("lgpl", "lesser", "gnu lesser general public license"),
     ("agpl", "affero", "gnu affero general public license"),
     ("gpl", "gpl", "\\b(?:licen[cs]ed|released|distributed) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?gpl(?:v[123])?\\b"),
     ("lgpl", "lgpl", "\\b(?:licen[cs]ed|released|distributed) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?lgpl(?:v[23](?:\\.1)?)?\\b"),
-    ("apache", "apache license", "apache license"),
-    ("apache-2.0", "apache license", "licensed under the apache license, version 2\\.0"),
-    ("mit", "mit licen", "\\b(?:licen[cs]ed|released|distributed) under the (?:terms of the )?mit license"),
-    ("mit", "permission is hereby granted", "permission is hereby granted, free of charge, to any person obtaining a copy"),
-    ("isc", "permission to use", "permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", "redistribution and use", "redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("bsd", "bsd licen", "\\bbsd[ -](?:style )?licen[cs]e"),
-    ("bsd-3-clause", "neither the name", "neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote .{1,60}? without specific prior written permission"),
-    ("mpl-2.0", "mozilla public", "subject to the terms of the mozilla public license, v\\. 2\\.0"),
-    ("epl-2.0", "eclipse public", "made available under the terms of the eclipse public license 2\\.0"),
-    ("cc-by", "cc by", "\\bcc by(?: [1234]\\.0)?\\b"),
-    ("cc-by-nc", "cc by-nc", "\\bcc by-nc(?: [1234]\\.0)?\\b"),
-    ("cc-by-sa", "cc by-sa", "\\bcc by-sa(?: [1234]\\.0)?\\b"),
-    ("cc-by-nd", "cc by-nd", "\\bcc by-nd(?: [1234]\\.0)?\\b"),
-    ("cc-by-nc-sa", "cc by-nc-sa", "\\bcc by-nc-sa(?: [1234]\\.0)?\\b"),
-    ("cc-by-nc-nd", "cc by-nc-nd", "\\bcc by-nc-nd(?: [1234]\\.0)?\\b"),
+    ("apache", "apache", "apache license"),
+    ("apache-2.0", "apache", "licensed under the apache license, version 2\\.0"),
+    ("mit", "licen", "\\b(?:licen[cs]ed|released|distributed) under the (?:terms of the )?mit license"),
+    ("mit", "hereby", "permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("isc", "hereby", "permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("bsd", "bsd", "\\bbsd(?: |-)(?:style )?licen[cs]e"),
+    ("bsd-3-clause", "contributors", "neither the name of [\\s\\S]{1,80}? nor the names of its contributors may be used to endorse or promote [\\s\\S]{1,60}? without specific prior written permission"),
+    ("mpl-2.0", "mozilla", "subject to the terms of the mozilla public license, v\\. 2\\.0"),
+    ("epl-2.0", "eclipse", "made available under the terms of the eclipse public license 2\\.0"),
+    ("cc-by", "cc", "\\bcc by(?: [1234]\\.0)?\\b"),
+    ("cc-by-nc", "cc", "\\bcc by-nc(?: [1234]\\.0)?\\b"),
+    ("cc-by-sa", "cc", "\\bcc by-sa(?: [1234]\\.0)?\\b"),
+    ("cc-by-nd", "cc", "\\bcc by-nd(?: [1234]\\.0)?\\b"),
+    ("cc-by-nc-sa", "cc", "\\bcc by-nc-sa(?: [1234]\\.0)?\\b"),
+    ("cc-by-nc-nd", "cc", "\\bcc by-nc-nd(?: [1234]\\.0)?\\b"),
     ("cc0-1.0", "cc0", "\\bcc0(?: 1\\.0)?\\b"),
-    ("creative-commons", "creative commons", "licensed under a creative commons .{1,80}? licen[cs]e"),
-    ("public-domain", "public domain", "\\b(?:is|are|placed|released) in(?:to)? the public domain\\b"),
-    ("unlicense", "public domain", "this is free and unencumbered software released into the public domain"),
-    ("zlib", "licen", "this software is provided 'as-is', without any express or implied warranty.{0,200}? licen[cs]e"),
-    ("proprietary", "all rights reserved", "\\ball rights reserved\\b"),
+    ("creative-commons", "creative", "licensed under a creative commons [\\s\\S]{1,80}? licen[cs]e"),
+    ("public-domain", "domain", "\\b(?:is|are|placed|released) in(?:to)? the public domain\\b"),
+    ("unlicense", "domain", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "licen", "this software is provided 'as-is', without any express or implied warranty[\\s\\S]{0,200}? licen[cs]e"),
+    ("proprietary", "reserved", "\\ball rights reserved\\b"),
     ("copyright-notice", "copyright", "\\bcopyright (?:\\(c\\) )?(?:19|20)[0-9]{2}"),
-    ("see-license", "license", "\\bsee (?:the )?(?:accompanying )?licen[cs]e(?:\\.txt|\\.md)?(?: file)?\\b"),
+    ("see-license", "licen", "\\bsee (?:the )?(?:accompanying )?licen[cs]e(?:\\.txt|\\.md)?(?: file)?\\b"),
     ("license-reference", "licen", "\\b(?:licen[cs]ed|released|distributed) under (?:the |a )?[a-z0-9 .+-]{2,60}? licen[cs]e\\b"),
-    ("no-license", "no licen", "\\bno licen[cs]e (?:is )?granted\\b"),
+    ("no-license", "licen", "\\bno licen[cs]e (?:is )?granted\\b"),
     ("commercial", "licen", "\\bcommercial licen[cs]e\\b"),
-    ("eula", "end user licen", "\\bend user licen[cs]e agreement\\b"),
+    ("eula", "licen", "\\bend user licen[cs]e agreement\\b"),
     ("warranty-disclaimer", "warranty", "\\bwithout warranty of any kind\\b"),
 ]
 
 
 def _keyword(name: str) -> str:
     """A plain piece of the name pattern that holds a stem, or the stem that every form of it holds."""
-    for piece in ("permission", "agreement", "cc0", "creative commons"):
+    for piece in ("permission", "agreement", "cc0", "creative"):
         if piece in name.split("(?:")[0]:
             return piece
     return "agreement" if "agreement" in name and "licen" not in name else "creative" if name.startswith("creative") else "licen"
@@ -189,7 +192,8 @@ def license_spans(documents: DataFrame, rules: list[tuple[int, str, str, str]] |
     rules, stems = RULES if rules is None else rules, STEMS if stems is None else stems
     docs = documents.where("doc_id is not null").select(
         "doc_id", F.xxhash64("text").alias("text_hash"), ascii_lower(F.col("text")).alias("t"), F.lower("text").alias("low"))
-    docs = docs.where(reduce(lambda a, b: a | b, [F.contains("low", F.lit(s)) for s in stems])).drop("low").dropDuplicates()
+    gates = [F.col("low").rlike(FOLLOWED[s]) if s in FOLLOWED else F.contains("low", F.lit(s)) for s in stems]
+    docs = docs.where(reduce(lambda a, b: a | b, gates)).drop("low").dropDuplicates()
     table = F.from_json(F.lit(json.dumps([dict(no=i, rank=r, label=lab, key=k, re=p) for i, (r, lab, k, p) in enumerate(rules)])),
                         "array<struct<no:int,rank:int,label:string,key:string,re:string>>")
     hits = docs.select("doc_id", "text_hash", "t", F.explode(

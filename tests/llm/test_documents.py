@@ -199,6 +199,44 @@ def test_every_license_name_is_found_as_it_is_written(spark):
     assert [OFFICIAL[i] for i in range(len(OFFICIAL)) if (i, OFFICIAL[i][0]) not in got] == []
 
 
+#: Sentences of the notices that the keywords gate, with their labels.
+SENTENCES = [
+    ("gpl", "GNU General Public License"), ("lgpl", "GNU Lesser General Public License"), ("agpl", "GNU Affero General Public License"),
+    ("gpl-or-later", "GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("apache", "Apache License"), ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("isc", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"), ("bsd", "a BSD license"),
+    ("bsd", "a BSD-style license"), ("cc-by", "CC BY"), ("cc-by-sa", "CC BY-SA 4.0"), ("cc-by-nc-nd", "CC BY-NC-ND 4.0"), ("cc0-1.0", "CC0 1.0"),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+                     "derived from this software without specific prior written permission"),
+    ("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0"), ("epl-2.0", "made available under the terms of the Eclipse Public License 2.0"),
+    ("creative-commons", "licensed under a Creative Commons Attribution 4.0 International License"), ("see-license", "see the accompanying licence file"),
+    ("public-domain", "placed in the public domain"), ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("proprietary", "All rights reserved"), ("eula", "End User License Agreement"), ("no-license", "no license is granted"),
+    ("mit", "released under the MIT license"), ("warranty-disclaimer", "without warranty of any kind")]
+
+
+def test_license_gates_let_wrapped_texts_through(spark):
+    """As by the patterns alone, without stems and keywords: texts wrapped at their blanks, names with hyphens."""
+    assert not any(c.isspace() for _, _, key, _ in license_scan.RULES for c in key) and not any(" " in s for s in license_scan.STEMS)
+    texts = [t.replace(" ", b) for _, t in SENTENCES + OFFICIAL for b in ("\n", "\t", "  ", " \r\n   ")]
+    texts += [t.replace(" ", "-") for _, t in OFFICIAL]
+    labels = [label for label, _ in SENTENCES + OFFICIAL for _ in range(4)] + [label for label, _ in OFFICIAL]
+    got = sorted((r["doc_id"], r["start"], r["end"], r["label"], r["rank"]) for r in license_scan.license_spans(frame(spark, texts)).collect())
+    want = []
+    for i, t in enumerate(texts):
+        spans = [(m.start(), m.end(), lab, r) for r, lab, _, p in license_scan.RULES for m in re.finditer(p, t.lower())]
+        assert labels[i] in {lab for _, _, lab, _ in spans}, t
+        want += [(i, a, b, lab, r) for a, b, lab, r in spans if not any(
+            c <= a and d >= b and (q < r or q == r and d - c > b - a) for c, d, _, q in spans)]
+    assert got == sorted(want)
+
+
+def test_license_keys_are_in_every_match():
+    texts = [t.lower().replace(" ", b) for _, t in SENTENCES + OFFICIAL for b in (" ", "\n", "\t ", "-")]
+    assert all(key in m.group() for _, _, key, p in license_scan.RULES for t in texts for m in re.finditer(p, t))
+
+
 def test_license_scan_empty_and_repeated(spark):
     assert license_scan.license_scan(frame(spark, []).limit(0)).count() == 0
     docs = spark.createDataFrame([(1, "mit license"), (1, "mit license"), (1, "cc by"), (None, "mit license")],
