@@ -1,10 +1,10 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
-Texts are sequences of words. An item of m words is found where a window of m words is within floor((1 - similarity) m)
-word edits of it; a window at the end of a document may be shorter by as many words. The walk of Chakraborty, Goldenberg and Koucky copies a sequence symbol by symbol and moves on or stays
+Texts are sequences of words. An item of m words is found where a window is within floor((1 - similarity) m) word
+edits of it; its best end counts, so it may be longer or shorter than m by as many words. The walk of Chakraborty, Goldenberg and Koucky copies a sequence symbol by symbol and moves on or stays
 by a random bit of the step and the symbol; sequences of small edit distance give outputs of small Hamming distance, so
-a few sampled outputs agree often. Repetitions are added until a simulation with edits up to the limit reaches
-the target recall. Windows that hold too many words of no item cannot match and are not walked (exact); every agreement is
+a few sampled outputs agree often. Repetitions are added until a simulation with edits up to the limit, walked and
+verified, reaches the target recall. Windows that hold too many words of no item cannot match and are not walked (exact); every agreement is
 verified by banded dynamic programming, so nothing false is reported.
 """
 
@@ -91,7 +91,7 @@ class Items:
             order = order[n:]
 
     def _class(self, items: np.ndarray, least: int, recall: float, rng: np.random.Generator) -> ItemClass:
-        """Repetitions until a simulated share `recall` of edited items is caught."""
+        """Repetitions until a simulated share `recall` of edited items is caught and found within the limit."""
         copies = np.resize(items, max(64, min(400, 2 * len(items))))
         text, starts, ends = [], [], []
         at = 0
@@ -109,6 +109,10 @@ class Items:
         item_starts = self.start[items]
         item_ends = np.minimum(item_starts + self.length[items], item_starts + least)
         known = np.unique(np.concatenate([self.words[a:a + n] for a, n in zip(item_starts, self.length[items])]))
+        whole_ends, fits = np.append(starts_[1:], at), np.zeros(len(copies), bool)
+        for item in np.unique(copies):
+            mine = np.flatnonzero(copies == item)
+            fits[mine] = self.distances(text_, starts_[mine], whole_ends[mine], int(item), any_end=True) <= self.allowed[item]
         for samples in (3, 2, 1):
             walks, caught = [], np.zeros(len(copies), bool)
             for repeat in range(MOST_REPEATS):
@@ -117,7 +121,7 @@ class Items:
                 caught |= sample_walk(text_, starts_, ends_, places, repeat)[1] == np.resize(key, len(copies))
                 by = np.argsort(key, kind="stable")
                 walks.append((places, key[by], items[by], seen))
-                if caught.mean() >= recall:
+                if (caught & fits).mean() >= recall:
                     return ItemClass(items, least, known, walks)
         return ItemClass(items, least, known, walks)
 
@@ -165,30 +169,36 @@ class Items:
             out[mine] = (text[starts[mine, None] + np.arange(m)] == own).all(axis=1)
         return out
 
-    def distances(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, item: int) -> np.ndarray:
-        """Word edit distance of text[start:min(start + m, end)] to the item, or more than allowed."""
+    def distances(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, item: int, any_end: bool = False) -> np.ndarray:
+        """Word edit distance of text[start:min(start + m, end)] to the item, or more than allowed.
+
+        With any_end the least of all windows from the start that end within the document: those of m - allowed to
+        m + allowed words, as others are farther.
+        """
         m, most = int(self.length[item]), int(self.allowed[item])
         own = self.words[self.start[item]:self.start[item] + m]
-        size = np.minimum(m, ends - starts)
+        wide = m + most if any_end else m
+        size = np.minimum(wide, ends - starts)
         out = np.full(len(starts), most + 1, np.int64)
-        at = np.minimum(starts + np.arange(m)[:, None], len(text) - 1)
-        window = np.where(np.arange(m)[:, None] < size, text[at], ~np.uint64(0))  # a row for each place
+        at = np.minimum(starts + np.arange(wide)[:, None], len(text) - 1)
+        window = np.where(np.arange(wide)[:, None] < size, text[at], ~np.uint64(0))  # a row for each place
         # All but the allowed words of the item must be there.
         near = np.flatnonzero(np.isin(window, own).sum(axis=0) >= m - most)
         window, size = window[:, near], size[near]
         far = most + 1
-        row = np.repeat(np.minimum(np.arange(m + 1), far)[:, None], len(near), axis=1)
+        row = np.repeat(np.minimum(np.arange(wide + 1), far)[:, None], len(near), axis=1)
         for i in range(1, m + 1 if len(near) else 1):
             new = np.full_like(row, far)
             if i <= most:
                 new[0] = i
-            low, high = max(1, i - most), min(m, i + most)
+            low, high = max(1, i - most), min(wide, i + most)
             swapped = row[low - 1:high] + (window[low - 1:high] != own[i - 1])
             np.minimum(swapped, row[low:high + 1] + 1, out=swapped)
             for j in range(low, high + 1):
                 np.minimum(swapped[j - low], new[j - 1] + 1, out=new[j])
             row = new
-        out[near] = np.minimum(row[size, np.arange(len(near))], far)
+        last = np.where(np.arange(wide + 1)[:, None] <= size, row, far).min(axis=0) if any_end else row[size, np.arange(len(near))]
+        out[near] = np.minimum(last, far)
         return out
 
 
@@ -211,7 +221,7 @@ def _finder(sent):
                 at, item, doc, distance, same = (x[same | ~done] for x in (at, item, doc, distance, same))
                 for one in np.unique(item[~same]):
                     mine = np.flatnonzero((item == one) & ~same)
-                    distance[mine] = items.distances(text, at[mine], (first + counts)[doc[mine]], int(one))
+                    distance[mine] = items.distances(text, at[mine], (first + counts)[doc[mine]], int(one), any_end=True)
                 fits = distance <= items.allowed[item]
                 at, item, doc, distance = at[fits], item[fits], doc[fits], distance[fits]
                 order = np.lexsort((at, distance, item, doc))

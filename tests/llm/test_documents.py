@@ -465,6 +465,54 @@ def test_decontamination_distance_is_exact():
             assert min(got, most + 1) == (min(true, most + 1) if len(own) - len(other) <= most else most + 1)
 
 
+def random_edits(rng, words, n):
+    """n substitutions, insertions and deletions, not before the first word and not behind the last one."""
+    words = list(words)
+    for _ in range(n):
+        kind, i = rng.randrange(3), rng.randrange(1, len(words) - 1)
+        words[i:i + (kind != 1)] = [f"other{rng.randrange(10**6)}"] if kind < 2 else []
+    return words
+
+
+def test_decontamination_takes_the_best_end(spark):
+    """Passages with as many random edits as the limit allows, between other words, against all starts and all ends."""
+    rng = random.Random(12)
+    items = [(k, [f"w{k}x{i}" for i in range(m)]) for k, m in enumerate([20, 40] * 12)]
+    texts, most = [], {k: len(own) // 5 for k, own in items}
+    for k, own in items:
+        around = sentence(rng, 60).split()
+        # At the end of a document too, where no words follow; net insertions and deletions both occur.
+        texts += [around[:30] + random_edits(rng, own, most[k]) + around[30:], around[:7] + random_edits(rng, own, most[k])]
+    benchmark = spark.createDataFrame([(k, " ".join(own)) for k, own in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.leaks(frame(spark, [" ".join(t) for t in texts]), benchmark).collect()}
+    one_length = 0
+    for i, words in enumerate(texts):
+        own = items[i // 2][1]
+        m, limit = len(own), most[i // 2]
+        at = words.index(own[0])
+        best = min(distance(own, words[at:at + n]) for n in range(m - limit, m + limit + 1))
+        assert best <= limit and got.get((i, i // 2), best) >= best
+        one_length += distance(own, words[at:at + m]) <= limit
+    assert one_length < 0.8 * len(texts)  # windows of m words alone would lose these
+    assert set(got) <= {(i, i // 2) for i in range(len(texts))} and len(got) >= 0.9 * len(texts)
+
+
+def test_decontamination_best_end_is_exact():
+    rng = random.Random(15)
+    texts = [sentence(rng, n) for n in (10, 15, 30)]
+    items = decontaminate.Items(np.arange(3), texts, 0.7, 0.9, 1)
+    for item in range(3):
+        own = items.words[items.start[item]:items.start[item] + items.length[item]].tolist()
+        most = int(items.allowed[item])
+        for _ in range(40):
+            other = own + [rng.randrange(1 << 60) for _ in range(rng.randrange(4))]
+            for _ in range(rng.randrange(0, most + 3)):
+                i = rng.randrange(len(other) + 1)
+                other[i:i + rng.randrange(2)] = [rng.randrange(1 << 60)] * rng.randrange(2)
+            got = items.distances(np.array(other, np.uint64), np.array([0]), np.array([len(other)]), item, any_end=True)[0]
+            assert got == min(most + 1, min(distance(own, other[:n]) for n in range(len(other) + 1)))
+
+
 def brute_spans(text):
     """The contract's patterns as they are written."""
     out = []
