@@ -6,22 +6,51 @@ format through Spark's text writer, read() gets them back by Content-Length.
 
 from __future__ import annotations
 
+import html as markup
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 VERSION = "WARC/1.1"
 RECORD = ("record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "payload_type", "block_digest",
           "payload_digest", "refers_to_digest", "content_length", "block")
 _CRLF = "\r\n"
 
-#: Named references that become characters; numbers become theirs where they are ASCII. `&amp;` comes last.
+#: The references that OP7_SQL resolves; plain_text() resolves all of HTML's.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#34;", '"'), ("&nbsp;", " "),
             ("&amp;", "&")]
 
 
+_REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+
+
+def _character(found: re.Match) -> str:
+    ref = found.group()
+    if ref[1] == "#" and len(ref) > 12:  # zeros in front, or beyond every character; int() takes no number of any length
+        hexed = ref[2] in "xX"
+        digits = ref[3 if hexed else 2:].rstrip(";").lstrip("0") or "0"
+        ref = f"&#{'x' if hexed else ''}{digits if len(digits) < 9 else '110000' if hexed else '1114112'};"
+    made = markup.unescape(ref)
+    return " " + made[1:] if made.startswith("\xa0") else made
+
+
+def resolved(text: str) -> str:
+    """HTML's named, decimal and hexadecimal references as characters, in one pass; a no-break space becomes a blank."""
+    return _REFERENCE.sub(_character, text) if "&" in text else text
+
+
+def _resolve(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield pa.array([None if t is None else resolved(t) for t in batch.to_pylist()], pa.string())
+
+
+_resolved = F.arrow_udf(_resolve, StringType())
+
+
 def _digest(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
 
@@ -47,13 +76,12 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
 
 
 def plain_text(html: Column) -> Column:
-    """Text of a page: no comments, scripts and styles; block ends and breaks become line feeds; entities are resolved once."""
+    """Text of a page: no comments, scripts and styles; block ends and breaks become line feeds; references are resolved once."""
     t = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     t = F.regexp_replace(t, r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</(script|style|noscript|template)\s*>", "")
     t = F.regexp_replace(t, r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/title|/article|/section|/header|/footer|/nav|/ul|/ol|/table)\b[^>]*>", "\n")
     t = F.regexp_replace(t, r"<[!/?a-zA-Z][^>]*>", "")
-    for name, sign in ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(sign))
+    t = _resolved(t)
     t = F.regexp_replace(t, r"[ \t\r\f]+", " ")
     t = F.regexp_replace(t, r" ?\n[ \n]*", "\n")
     return F.regexp_replace(t, r"^[ \n]+|[ \n]+$", "")
@@ -78,16 +106,17 @@ def derive(records: DataFrame) -> DataFrame:
         F.col("content_type").alias("_type"), F.col("content_length").alias("_length"), F.col("block_digest").alias("_digest"),
         F.col("payload_digest").alias("refers_to_digest"), head.alias("_head"), body.alias("_html"))
     title = F.regexp_extract("_html", r"(?is)<title[^>]*>(.*?)</title", 1)
+    source = source.select("*", plain_text(title).alias("_title"), plain_text(F.col("_html")).alias("_plain"))
     status = F.regexp_extract("_head", r"^HTTP/[0-9.]+ ([0-9]{3})", 1)
     fields = [("source-content-type", F.col("_type")), ("source-content-length", F.col("_length").cast("string")),
               ("source-block-digest", F.col("_digest")), ("source-payload-digest", F.col("refers_to_digest")),
               ("http-status", status), ("http-headers", F.replace("_head", F.lit(_CRLF), F.lit(" | "))),
-              ("title", F.regexp_replace(plain_text(title), r"\s+", " ")),
+              ("title", F.regexp_replace("_title", r"\s+", " ")),
               ("outlinks", F.regexp_count("_html", F.lit(r"(?i)<a\b[^>]*\bhref\s*=")).cast("string"))]
     metadata = F.concat(*[v for name, x in fields for v in (F.lit(f"{name}: "), F.coalesce(x, F.lit("")), F.lit(_CRLF))])
     kinds = F.explode(F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), metadata.alias("block")),
-        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("content_type"), plain_text(F.col("_html")).alias("block"))))
+        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("content_type"), F.col("_plain").alias("block"))))
     out = source.withColumn("_k", kinds)
     return out.select(
         *carried, "_k.record_type", record_id(F.col("_k.record_type"), F.col("refers_to"), _digest(F.col("_k.block"))).alias("record_id"),

@@ -138,3 +138,15 @@ def test_warc_round_trip_and_links(spark, tmp_path):
     assert sorted(r["record_id"] for r in again.where("target_uri not like '%X: y'").collect()) == sorted(
         r["record_id"] for r in made.where("page_id <> 4").collect())
     assert warc.derive(source.limit(0)).count() == 0
+
+
+def test_warc_text_resolves_all_references_once(spark):
+    cases = {"&copy; 2024 &middot; caf&eacute;": "© 2024 · café", "it&#8217;s &#x27;so&#X27;": "it’s 'so'", "&amp;lt; &amp;amp; &lt;b&gt;": "&lt; &amp; <b>",
+             "a&nbsp;&#160;b&#xA0;c": "a b c", "&copy 5 &notit; &nosuch; & &# &#x; AT&T": "© 5 ¬it; &nosuch; & &# &#x; AT&T",
+             "&#0;&#xD800;&#x110000;&#128;": "\ufffd\ufffd\ufffd€", "&#" + "9" * 6000 + ";&#x" + "f" * 6000 + ";": "\ufffd\ufffd",
+             "&#" + "0" * 6000 + "65;&#x" + "0" * 6000 + "42": "AB", "&#x1F600;&NotEqualTilde;": "\U0001F600≂̸", "&apos;&#39;&quot;&#34;": "''\"\""}
+    pages = spark.createDataFrame([(i, "http://a", f"<title>{t}</title>") for i, t in enumerate(cases)], "page_id long, url string, html string")
+    made = warc.derive(warc.responses(pages)).collect()
+    text = {r["page_id"]: r["block"] for r in made if r["record_type"] == "conversion"}
+    assert [text[i] for i in range(len(cases))] == list(cases.values())
+    assert all(f"title: {want}\r\n" in r["block"] for r in made if r["record_type"] == "metadata" for want in [list(cases.values())[r["page_id"]]])
