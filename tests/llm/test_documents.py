@@ -575,3 +575,26 @@ def test_pii_skip_edges_pull_other_spellings_along():
     tokens, _, edges = pii.graph("call 030 1234567 now and later (1234567)")
     assert {e for e in edges if e[2] == 1} == {(1, 2, 1)}
     assert (0, 1, 0) in edges
+
+
+def test_pii_evidence_reaches_all_occurrences():
+    """On a chain of 40 repeats with the evidence at its head: exact marginals, and the same beside other documents."""
+    rng, n = np.random.default_rng(4), 40
+    pull = np.where(np.eye(5) > 0, 6.0, 0.0)
+    weights = {"node": rng.normal(size=(3 * pii.BUCKETS, 5)) * 1e-3, "edge": np.array([np.zeros((5, 5)), pull]), "bias": np.zeros(5)}
+    features = np.array([[1, 5000, 9000]] + [[2, 5001, 9001]] * (n - 1))
+    weights["node"][1, 3] = 9.0
+    edges = np.array([[i, i + 1, 1] for i in range(n - 1)])
+    got = pii.beliefs(weights, features, edges)
+    own = weights["node"][features].sum(axis=1) + weights["bias"]
+    ahead, behind = [own[0]], [np.zeros(5)]
+    for i in range(1, n):
+        ahead.append(own[i] + np.logaddexp.reduce(ahead[-1][:, None] + pull, axis=0))
+        behind.append(np.logaddexp.reduce((own[n - i] + behind[-1])[None, :] + pull, axis=1))
+    want = np.exp((exact := np.array(ahead) + np.array(behind[::-1])) - exact.max(axis=1, keepdims=True))
+    assert got == pytest.approx(want / want.sum(axis=1, keepdims=True), abs=1e-5)
+    assert got[-1, 3] > 0.5  # six rounds leave it near one fifth
+    joined = pii._join([(features, edges), (features[:2], edges[:1]), (features[:1], edges[:0])])
+    assert (pii.beliefs(weights, *joined, [n, 2, 1])[:n] == got).all()
+    long = "1" * 64
+    assert pii.graph(f"x {long}@a.org")[1][0] != pii.graph(f"x {long}")[1][0]
