@@ -51,22 +51,32 @@ def payload_digest(cases: DataFrame, levels: int = 3) -> DataFrame:
     """One row: total and a SHA-256 over all entries in id order that does not depend on layout.
 
     Entries are hashed one by one; ids that share all but their last characters form a group whose hashes are hashed in id
-    order, and so on ``levels`` times, so no task sees more than the ids that differ in DIGEST_STEP characters, and
-    the last hash runs over the groups that are left.
+    order, and so on, until nothing of the longest id is left. No task sees more than the ids that differ in
+    DIGEST_STEP characters, however the ids are made. After ``levels`` levels a group of one keeps its hash.
     """
     hashed = submission_lines(cases).select(
         F.col("case_id").alias("id"), F.lit(1).cast("bigint").alias("n"),
         F.sha2(F.concat_ws("\n", "case_id", "body").cast("binary"), 256).alias("h"))
 
-    def folded() -> tuple[Column, Column]:
-        ordered = F.transform(F.array_sort(F.collect_list(F.struct("id", "h"))), lambda e: e["h"])
-        return F.sum("n").alias("n"), F.sha2(F.array_join(ordered, "").cast("binary"), 256).alias("h")
+    longest = cases.agg(F.max(F.length("case_id"))).first()[0] or 0
+    total, digest = _fold()
+    return _groups(hashed, levels, longest).agg(total.alias("total_cases"), digest.alias("sha256"))
 
-    for _ in range(levels):
+
+def _fold() -> tuple[Column, Column]:
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("id", "h"))), lambda e: e["h"])
+    return F.sum("n").alias("n"), F.sha2(F.array_join(ordered, "").cast("binary"), 256).alias("h")
+
+
+def _groups(hashed: DataFrame, levels: int, longest: int) -> DataFrame:
+    """id, n, h of what is left when the characters of the longest id are folded, ``levels`` times at least."""
+    for level in range(max(levels, -(-longest // DIGEST_STEP))):
         shorter = F.left("id", F.greatest(F.length("id") - DIGEST_STEP, F.lit(0)))
-        hashed = hashed.withColumn("group", shorter).groupBy("group").agg(*folded()).withColumnRenamed("group", "id")
-    total, digest = folded()
-    return hashed.agg(total.alias("total_cases"), digest.alias("sha256"))
+        total, digest = _fold()
+        if level >= levels:
+            digest = F.when(F.count(F.lit(1)) == 1, F.min("h")).otherwise(digest).alias("h")
+        hashed = hashed.withColumn("group", shorter).groupBy("group").agg(total, digest).withColumnRenamed("group", "id")
+    return hashed
 
 
 def manifest(cases: DataFrame, run_kind: str, input_version: str = "v1", config_version: str = "v1") -> DataFrame:

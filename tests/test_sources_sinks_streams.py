@@ -130,6 +130,29 @@ def test_submission_and_report_files(spark, sf_dir, tmp_path):
     assert sinks.payload_digest(c).collect() == sinks.payload_digest(c.repartition(5)).collect()
 
 
+def test_digest_folds_ids_of_any_kind_to_one_group(spark):
+    """Ids without a dense counter at the end; counters give the same as the plain levels."""
+    import hashlib
+    import uuid
+
+    ids = [str(uuid.UUID(hashlib.md5(str(i).encode()).hexdigest())) for i in range(600)] + [f"<m{i}@host{i % 7}.example>" for i in range(60)] + ["", "z"]
+    rows = [(i, 1, hashlib.sha256(i.encode()).hexdigest()) for i in ids]
+    hashed = lambda: spark.createDataFrame(rows, "id string, n long, h string")
+    longest = max(map(len, ids))
+    left = sinks._groups(hashed(), 3, longest).collect()
+    assert [(r["id"], r["n"]) for r in left] == [("", len(ids))]
+    assert left == sinks._groups(hashed().repartition(5), 3, longest).collect()
+    now = {i: h for i, _, h in rows}
+    for level in range(-(-longest // 3)):
+        groups = {}
+        for i in sorted(now):
+            groups.setdefault(i[:max(0, len(i) - 3)], []).append(now[i])
+        now = {i: hs[0] if level >= 3 and len(hs) == 1 else hashlib.sha256("".join(hs).encode()).hexdigest() for i, hs in groups.items()}
+    assert left[0]["h"] == now[""]
+    rows = [(f"case_{i:08d}", 1, hashlib.sha256(str(i).encode()).hexdigest()) for i in range(50)]
+    assert [r["h"] for r in sinks._groups(hashed(), 3, 13).collect()] == [r["h"] for r in sinks._groups(hashed(), 3, 0).collect()]
+
+
 def test_export_gate_fails_closed(spark, sf_dir):
     c = queries.cases(spark, sf_dir)
     assert audit.export_gate(c).filter("run_kind != 'EVAL'").count() == 0
