@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladingcheck.llm import cover_tree, decontaminate, language_id, license_scan, line_dedup, mixing, ngram_jaccard, pii, url_filter, warc
+from ladingcheck.llm import (
+    cover_tree, decontaminate, language_id, license_scan, line_dedup, minhash_dedup, mixing, ngram_jaccard, pii, url_filter, warc)
 from ladingcheck.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,25 +20,30 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.ngram_jaccard(table(spark, sf_dir, "documents"), width=4, part=85, whole=100)
 
 
-OP1_SQL = f"""
+def _groups_sql(width: int, part: int, more: str = "") -> str:
+    """Groups of documents linked by shingles of `width` words at a similarity of `part` per cent."""
+    return f"""
 WITH RECURSIVE w AS MATERIALIZED (
   SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format('text')}, '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents),
 s AS MATERIALIZED (
-  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g
-  FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - 3) + 1)) AS i FROM w WHERE len(ws) > 0)),
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + {width - 1}], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - {width - 1}) + 1)) AS i FROM w WHERE len(ws) > 0)),
 n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 pairs AS MATERIALIZED (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 links AS MATERIALIZED (
-  SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
+  SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= {part} * (a.n + b.n - k)),
 both_ways AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM documents
   UNION SELECT r.x, l.y FROM reach r JOIN both_ways l ON r.y = l.x)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id{more}
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) c USING (doc_id)
 """
 
 
+OP1_SQL = _groups_sql(4, 85)
+
+
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
@@ -249,9 +255,16 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=5, part=85, whole=100)
+
+
+OP13_SQL = _groups_sql(5, 85, ", c.component_id = d.doc_id AS kept")
+
+
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_ngram_jaccard_join, op2_license_scans, op3_temperature_mixing, op4_language_id, op5_url_filters, op6_benchmark_decontamination, op7_warc,
-    op8_exact_top_k_search, op9_pii, op10_line_dedup)}
+    op8_exact_top_k_search, op9_pii, op10_line_dedup, op13_minhash_near_dedup)}
 
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
@@ -261,4 +274,5 @@ SQL: dict[str, str] = {
     "op7_warc": OP7_SQL,
     "op8_exact_top_k_search": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op13_minhash_near_dedup": OP13_SQL,
 }
