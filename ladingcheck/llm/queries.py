@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ladingcheck.llm import (
-    cover_tree, decontaminate, language_id, license_scan, line_dedup, minhash_dedup, mixing, ngram_jaccard, pii, url_filter, warc)
+    cover_tree, decontaminate, language_id, license_scan, line_dedup, merkle, minhash_dedup, mixing, ngram_jaccard, pii, url_filter, warc)
 from ladingcheck.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -255,6 +255,70 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text in DuckDB: half a byte a step, the lower half first."""
+    halves = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        halves.append(c)
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT & 15, ascii(c)::BIGINT >> 4]))"
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), "
+            f"lambda c, x: xor(c >> 4, ([{', '.join(map(str, halves))}]::BIGINT[])[(xor(c, x) & 15) + 1])), 4294967295::BIGINT)")
+
+
+def _merkle_sql(levels: int) -> str:
+    """Trees of up to 16^levels leaves a source and as many sources."""
+    def leaf(text: str) -> str:
+        fields = ("doc_id", "source", "lang", "n_chars", text)
+        return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in fields) + ")"
+
+    def tree(name: str, key: str) -> list[str]:
+        parts = []
+        for k in range(levels):
+            parts.append(f"{name}r{k} AS MATERIALIZED (SELECT {key}, width, idx // 16 AS run, list(digest ORDER BY idx) AS ds "
+                         f"FROM {name}{k} WHERE width > 1 GROUP BY ALL)")
+            parts.append(f"{name}{k + 1} AS MATERIALIZED (SELECT {key}, (width + 15) // 16 AS width, run AS idx, "
+                         f"sha256(array_to_string(ds, '')) AS digest FROM {name}r{k})")
+        roots = " UNION ALL ".join(f"SELECT {key}, digest FROM {name}{k} WHERE width = 1" for k in range(levels + 1))
+        parts.append(f"{name}root AS MATERIALIZED ({roots})")
+        return parts
+
+    def climb(name: str, key: str, before: str, at: str) -> tuple[list[str], str]:
+        parts = []
+        for k in range(levels):
+            place = f"(b.{at} // {16**k} % 16)"
+            parts.append(f"""{name}c{k} AS MATERIALIZED (
+  SELECT b.* REPLACE (
+    b.proof || coalesce(array_to_string(r.ds[1:{place}] || r.ds[{place} + 2:], ''), '') AS proof,
+    CASE WHEN r.ds IS NULL THEN b.folded ELSE sha256(array_to_string(r.ds[1:{place}] || [b.folded] || r.ds[{place} + 2:], '')) END AS folded)
+  FROM {before} b LEFT JOIN {name}r{k} r ON r.{key} = b.{key} AND r.run = b.{at} // {16**(k + 1)})""")
+            before = f"{name}c{k}"
+        return parts, before
+
+    up, climbed = climb("s", "tree", "d", "pos")
+    top_up, ended = climb("t", "forest", climbed, "top")
+    ctes = [
+        f"rows_ AS MATERIALIZED (SELECT *, coalesce('=' || source, '') AS tree, {leaf('text')} AS leaf, CASE WHEN doc_id IS NOT NULL "
+        f"AND {_crc32('doc_id::VARCHAR')} % 5 = 0 THEN {leaf(_LOWER.format('text'))} ELSE {leaf('text')} END AS claim FROM documents)",
+        "s0 AS MATERIALIZED (SELECT doc_id, tree, leaf AS digest, claim, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, "
+        "count(*) OVER (PARTITION BY tree) AS width FROM rows_)",
+        *tree("s", "tree"),
+        "t0 AS MATERIALIZED (SELECT 0 AS forest, tree, digest, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS width FROM sroot)",
+        *tree("t", "forest"),
+        "d AS MATERIALIZED (SELECT s0.doc_id, s0.tree, 0 AS forest, s0.idx AS pos, t0.idx AS top, s0.digest AS leaf, s0.claim AS folded, '' AS proof, "
+        "t0.digest AS subroot FROM s0 JOIN t0 USING (tree))", *up, *top_up]
+    return ("WITH " + ",\n".join(ctes) + "\nSELECT doc_id, leaf, subroot, (SELECT digest FROM troot) AS root, sha256(proof) AS proof_sha256, "
+            f"folded AS folded_root, folded = (SELECT digest FROM troot) AS verified FROM {ended}")
+
+
+OP11_SQL = _merkle_sql(5)
+
+
 def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=5, part=85, whole=100)
 
@@ -264,7 +328,8 @@ OP13_SQL = _groups_sql(5, 85, ", c.component_id = d.doc_id AS kept")
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_ngram_jaccard_join, op2_license_scans, op3_temperature_mixing, op4_language_id, op5_url_filters, op6_benchmark_decontamination, op7_warc,
-    op8_exact_top_k_search, op9_pii, op10_line_dedup, op13_minhash_near_dedup)}
+    op8_exact_top_k_search, op9_pii, op10_line_dedup, op11_merkle_manifest,
+    op13_minhash_near_dedup)}
 
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
@@ -274,5 +339,6 @@ SQL: dict[str, str] = {
     "op7_warc": OP7_SQL,
     "op8_exact_top_k_search": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op11_merkle_manifest": OP11_SQL,
     "op13_minhash_near_dedup": OP13_SQL,
 }
