@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ladingcheck.llm import (
-    cover_tree, decontaminate, language_id, license_scan, line_dedup, merkle, minhash_dedup, mixing, ngram_jaccard, pii, url_filter, warc)
+    cover_tree, decontaminate, language_id, license_scan, line_dedup, merkle, minhash_dedup, mixing, ngram_jaccard, periodic_runs, pii,
+    url_filter, warc)
 from ladingcheck.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -319,6 +320,41 @@ def _merkle_sql(levels: int) -> str:
 OP11_SQL = _merkle_sql(5)
 
 
+def op12_periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True, whole=False)
+
+
+# A run of length >= max(12, 2q) has six words or more that are equal one period on, so pairs of equal six-word shingles
+# at distance q, in a row, are the runs of period q; of one stretch the smallest q counts.
+OP12_SQL = f"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS ws, {_crc32('doc_id::VARCHAR')} AS h FROM documents),
+a AS MATERIALIZED (SELECT doc_id, ws, h, h // 10 AS g, len(ws) AS n, CASE WHEN len(ws) > 0 THEN h // 10 % len(ws) END AS a FROM d),
+p AS MATERIALIZED (SELECT doc_id, ws, n, CASE WHEN h % 10 = 0 THEN a ELSE n END AS a, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+w AS MATERIALIZED (
+  SELECT doc_id, n, list_transform(range(0, n), lambda i: ws[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) AS ws FROM p WHERE n > 0),
+g AS MATERIALIZED (
+  SELECT doc_id, i - 1 AS i, hash(ws[i:i + 5]) AS g, ws[i:i + 5] AS x FROM (SELECT doc_id, ws, unnest(range(1, n - 4)) AS i FROM w)),
+e AS MATERIALIZED (
+  SELECT y.doc_id, y.i, z.i - y.i AS q FROM g y JOIN g z ON y.doc_id = z.doc_id AND y.g = z.g AND y.i < z.i AND y.x = z.x),
+i AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + 5 + q AS length FROM i GROUP BY doc_id, q, island),
+r AS MATERIALIZED (
+  SELECT doc_id, start, length, min(q) AS q FROM s WHERE length >= greatest(12, 2 * q) GROUP BY doc_id, start, length),
+b AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, q) AS place FROM r),
+l AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS runs FROM r GROUP BY doc_id),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM r),
+t AS (SELECT doc_id, i - 1 AS i, ws[i] AS t FROM (SELECT doc_id, ws, unnest(range(1, n + 1)) AS i FROM w)),
+k AS MATERIALIZED (SELECT t.doc_id, string_agg(t.t, ' ' ORDER BY t.i) AS text FROM t ANTI JOIN gone USING (doc_id, i) GROUP BY t.doc_id)
+SELECT d.doc_id, coalesce(l.n, 0)::BIGINT AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length, b.q::BIGINT AS period,
+  (1000 * b.length // b.q)::BIGINT AS exponent_milli, sha256(coalesce(l.runs, '')) AS runs_sha256,
+  sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN l USING (doc_id) LEFT JOIN b ON b.doc_id = d.doc_id AND b.place = 1 LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+
 def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=5, part=85, whole=100)
 
@@ -329,7 +365,7 @@ OP13_SQL = _groups_sql(5, 85, ", c.component_id = d.doc_id AS kept")
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_ngram_jaccard_join, op2_license_scans, op3_temperature_mixing, op4_language_id, op5_url_filters, op6_benchmark_decontamination, op7_warc,
     op8_exact_top_k_search, op9_pii, op10_line_dedup, op11_merkle_manifest,
-    op13_minhash_near_dedup)}
+    op12_periodic_run_detection, op13_minhash_near_dedup)}
 
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
@@ -340,5 +376,6 @@ SQL: dict[str, str] = {
     "op8_exact_top_k_search": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_periodic_run_detection": OP12_SQL,
     "op13_minhash_near_dedup": OP13_SQL,
 }
