@@ -194,19 +194,51 @@ def page_blocks(pages: DataFrame) -> DataFrame:
 # --- grids: sheets and word tables ---------------------------------------------------
 
 
+#: Rows and columns (as powers of two) of the areas in which cells learn which sizes of ranges lie over them.
+_AREA = (12, 8)
+
+
+def _level(size: Column) -> Column:
+    """The smallest n with 2^n >= size."""
+    return F.when(size <= 1, 0).otherwise(F.length(F.bin(size - 1)))
+
+
+def _tiles(low: Column, high: Column, level: Column) -> Column:
+    return F.sequence(_tile(low, level), _tile(high, level))
+
+
+def _tile(place: Column, level: Column) -> Column:
+    return F.floor(place / F.pow(F.lit(2.0), level))
+
+
 def merged_cells(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     """Drop the cells a merged range covers, except its top-left origin.
 
-    ``ranges`` (document_id, container, min_row, max_row, min_col, max_col) is
-    joined on document and container, so only ranges of the same grid meet.
+    ranges (document_id, container, min_row, max_row, min_col, max_col). A range of h x w cells is laid on tiles of
+    the next powers of two, so it meets at most 2 x 2 of them; cells join it on the tile, not on the sheet. Ranges of a
+    sheet do not overlap, so a tile holds a bounded number of ranges of its size. Which sizes occur is first told to each
+    area of a sheet. Ranges with a null or no cell cover nothing; repeated and overlapping ones are allowed; cells with a
+    null key stay.
     """
-    inside = (
-        (cells.document_id == ranges.document_id) & (cells.container == ranges.container)
-        & cells.row.between(ranges.min_row, ranges.max_row)
-        & cells.col.between(ranges.min_col, ranges.max_col)
-        & ~((cells.row == ranges.min_row) & (cells.col == ranges.min_col))
-    )
-    return cells.join(ranges, inside, "left_anti")
+    key = ["document_id", "container"]
+    r = ranges.select(*key, *[F.col(c).cast("bigint").alias(c) for c in ("min_row", "max_row", "min_col", "max_col")]).dropna().filter(
+        "min_row <= max_row and min_col <= max_col").distinct().withColumns({
+            "_up": _level(F.col("max_row") - F.col("min_row") + 1), "_across": _level(F.col("max_col") - F.col("min_col") + 1)})
+    places = cells.select(*key, F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col")).dropna()
+    high, wide = F.lit(_AREA[0]), F.lit(_AREA[1])
+    sizes = r.withColumn("_down", F.explode(_tiles(F.col("min_row"), F.col("max_row"), high))).withColumn(
+        "_right", F.explode(_tiles(F.col("min_col"), F.col("max_col"), wide))).select(
+        *key, "_down", "_right", "_up", "_across").distinct()
+    on_tiles = r.withColumn("_tr", F.explode(_tiles(F.col("min_row"), F.col("max_row"), F.col("_up")))).withColumn(
+        "_tc", F.explode(_tiles(F.col("min_col"), F.col("max_col"), F.col("_across"))))
+    tile = [*key, "_up", "_across", "_tr", "_tc"]
+    sized = places.withColumns({"_down": _tile(F.col("row"), high), "_right": _tile(F.col("col"), wide)}).join(
+        sizes, [*key, "_down", "_right"]).withColumns({
+            "_tr": _tile(F.col("row"), F.col("_up")), "_tc": _tile(F.col("col"), F.col("_across"))})
+    inside = F.col("row").between(F.col("min_row"), F.col("max_row")) & F.col("col").between(
+        F.col("min_col"), F.col("max_col")) & ~((F.col("row") == F.col("min_row")) & (F.col("col") == F.col("min_col")))
+    covered = sized.join(on_tiles, tile).filter(inside).select(*key, "row", "col").distinct()
+    return cells.join(covered, [*key, "row", "col"], "left_anti").select(cells.columns)
 
 
 def render_cell(cell_type: Column, text_value: Column, num_value: Column) -> Column:
@@ -229,12 +261,15 @@ def grid_blocks(cells: DataFrame) -> DataFrame:
     """
     filled = cells.filter(strip(F.col("text")) != "")
     right = Window.partitionBy("document_id", "container", "row").orderBy("col")
-    rest = right.rowsBetween(2, Window.unboundedFollowing)
+    # One array per row of a word table, cut at each cell; sheets collect nothing, however long their rows are.
+    whole = right.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    table = ~F.col("kind").eqNullSafe("sheet")
     paired = filled.withColumns({
         "next_text": F.lead("text", 1).over(right),
         "next_col": F.lead("col", 1).over(right),
         "second": F.lead("text", 2).over(right),
-        "others": F.collect_list("text").over(rest),
+        "others": F.collect_list(F.when(table, F.col("text"))).over(whole),
+        "place": F.row_number().over(right),
         "spans": label_spans(F.col("text")),
     })
     in_cell = paired.filter(F.size("spans") > 0).select(
@@ -243,7 +278,8 @@ def grid_blocks(cells: DataFrame) -> DataFrame:
              F.col("s.value").alias("value"), F.col("col").alias("value_col"),
              F.array().cast("array<string>").alias("extra"))
     label = strip(F.rtrim(strip(F.col("text")), F.lit(":")))
-    extra = F.when(F.col("kind") == "sheet", F.array_compact(F.array("second"))).otherwise(F.col("others"))
+    extra = F.when(F.col("kind") == "sheet", F.array_compact(F.array("second"))).otherwise(
+        F.slice("others", F.col("place") + 2, F.size("others")))
     pairs = paired.filter((F.size("spans") == 0) & F.col("next_text").isNotNull()).select(
         "document_id", "container", "row", "col", F.lit(0).alias("i"), label.alias("label"),
         F.col("next_text").alias("value"), F.col("next_col").alias("value_col"), extra.alias("extra"),

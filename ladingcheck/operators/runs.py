@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,13 +13,15 @@ from pyspark.sql.window import Window
 from ladingcheck import constants as K
 from ladingcheck import schema
 from ladingcheck.operators.running import previous_value
+from ladingcheck.storage import stored
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
-    """The current run of each case: last started, run_id breaking ties."""
+    """The current run of each case: last started; ties go to the larger run_id, then to the larger record as a whole."""
     rest = [c for c in runs.columns if c not in schema.KEY]
+    order = ["started_at", "run_id", *sorted(c for c in rest if c not in ("started_at", "run_id"))]
     return runs.groupBy(*schema.KEY).agg(
-        F.max_by(F.struct(*rest), F.struct("started_at", "run_id")).alias("r")).select(*schema.KEY, "r.*")
+        F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*schema.KEY, "r.*")
 
 
 def reprocess(runs: DataFrame, reviews: DataFrame, jobs: DataFrame, decisions: DataFrame
@@ -163,20 +166,118 @@ def run_durations(events: DataFrame) -> DataFrame:
 # --- invalid attempts ----------------------------------------------------------------------
 
 
+#: Width of a range of time that one fold reads, and the rounds in which ranges guess how they start.
+RANGE_MS = 600_000
+GUESSES = 2
+
+
+def _counted(times: np.ndarray, before: list[int]) -> list[int]:
+    """Positions of the invalid attempts that count, after those at `before`; jumps over what a full minute keeps out."""
+    kept, taken, i = list(before), [], 0
+    while i < len(times):
+        if len(kept) >= K.INVALID_LIMIT and times[i] - kept[-K.INVALID_LIMIT] < K.INVALID_WINDOW_MS:
+            i = int(np.searchsorted(times, kept[-K.INVALID_LIMIT] + K.INVALID_WINDOW_MS))
+        else:
+            kept.append(int(times[i]))
+            taken.append(i)
+            i += 1
+    return taken
+
+
+def _last_counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by range to one row per range: the counted times that the next range can still see (at most twelve)."""
+    key, kept = None, []
+    for frame in batches:
+        done = []
+        for own, rows in frame.groupby(["actor", "burst", "range"], sort=False):
+            if own != key:
+                if key is not None:
+                    done.append((*key, kept))
+                key, kept = own, [int(t) for t in rows["before"].iloc[0]]
+            times = rows.loc[rows["invalid"], "at_ms"].to_numpy()
+            kept = (kept + [int(times[i]) for i in _counted(times, kept)])[-K.INVALID_LIMIT:]
+        yield pd.DataFrame(done, columns=["actor", "burst", "range", "after"])
+    if key is not None:
+        yield pd.DataFrame([(*key, kept)], columns=["actor", "burst", "range", "after"])
+
+
+def _chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by burst and range, of which only a burst's first range knows its start: every range's start in turn."""
+    burst, last, kept = None, None, []
+    for frame in batches:
+        starts = []
+        for (actor, begun, number), rows in frame.groupby(["actor", "burst", "range"], sort=False):
+            if (actor, begun) != burst:
+                burst, last, kept = (actor, begun), None, [int(t) for t in rows["before"].iloc[0]]
+            if number != last:
+                last = number
+                starts.append((actor, begun, number, kept))
+            times = rows.loc[rows["invalid"], "at_ms"].to_numpy()
+            kept = (kept + [int(times[i]) for i in _counted(times, kept)])[-K.INVALID_LIMIT:]
+        yield pd.DataFrame(starts, columns=["actor", "burst", "range", "before"])
+
+
 def _limit_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The sequential rule over rows sorted by burst and time; holds one minute at most."""
-    burst, counted = None, []
+    """Rows sorted by range and time, each range with its start, with ``limited``; holds one batch."""
+    key, kept = None, []
     for frame in batches:
-        limited = []
-        for actor, start, at, invalid in zip(frame["actor"], frame["burst"], frame["at_ms"], frame["invalid"]):
-            if (actor, start) != burst:
-                burst, counted = (actor, start), []
-            counted = [t for t in counted if at - t < K.INVALID_WINDOW_MS]
-            full = len(counted) >= K.INVALID_LIMIT
-            limited.append(full)
-            if invalid and not full:
-                counted.append(at)
-        yield frame.assign(limited=limited)
+        parts = []
+        for own, rows in frame.groupby(["actor", "burst", "range"], sort=False):
+            if own != key:
+                key, kept = own, [int(t) for t in rows["before"].iloc[0]]
+            at, invalid = rows["at_ms"].to_numpy(), rows["invalid"].to_numpy(dtype=bool)
+            places = np.flatnonzero(invalid)
+            taken = places[_counted(at[places], kept)].astype(int)
+            counted = np.concatenate([np.array(kept, np.int64), at[taken]])
+            # How many counted attempts stand before each row; the twelfth last of them decides.
+            n = len(kept) + np.searchsorted(taken, np.arange(len(at)))
+            far = np.clip(n - K.INVALID_LIMIT, 0, None)
+            if len(counted):
+                full = (n >= K.INVALID_LIMIT) & (at - counted[np.minimum(far, len(counted) - 1)] < K.INVALID_WINDOW_MS)
+            else:
+                full = np.zeros(len(at), bool)
+            parts.append(rows.assign(limited=full))
+            kept = [int(t) for t in counted[-K.INVALID_LIMIT:]]
+        if parts:
+            yield pd.concat(parts).drop(columns=["range", "before"])
+
+
+_RANGE = ["actor", "burst", "range"]
+
+
+def _range_starts(attempts: DataFrame) -> DataFrame:
+    """(actor, burst, range, before) for attempts (actor, burst, range, at_ms, invalid): a speculative scan.
+
+    Every range is folded from a guessed start, at first nothing; its end is the start of the next one. A range whose
+    start was guessed wrong is folded again. Once no start changes all are right. In a flood the starts may never meet,
+    so after GUESSES rounds what is open is walked in order instead, from each burst's first open range, batch by batch.
+    """
+    types = {f.name: f.dataType.simpleString() for f in attempts.schema.fields}
+    head = ", ".join(f"`{c}` {types[c]}" for c in _RANGE)
+    nothing = F.array().cast("array<bigint>")
+    order = Window.partitionBy("actor", "burst").orderBy("range")
+
+    def folded(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*_RANGE).sortWithinPartitions(*_RANGE, "at_ms").mapInPandas(_last_counted, f"{head}, after array<bigint>")
+
+    def proposed(state: DataFrame) -> DataFrame:
+        # What left the minute before the range begins is of no effect.
+        live = F.filter(F.lag("after").over(order), lambda t: F.col("range") * RANGE_MS - t < K.INVALID_WINDOW_MS)
+        return state.withColumn("start", F.coalesce(live, nothing))
+
+    state = stored(folded(attempts.withColumn("before", nothing)).withColumn("before", nothing), "ranges")
+    for _ in range(GUESSES):
+        wrong = stored(proposed(state).filter("start <> before").select(*_RANGE, F.col("start").alias("before")), "starts")
+        if wrong.isEmpty():
+            return state.drop("after")
+        again = folded(attempts.join(wrong, _RANGE)).join(wrong, _RANGE)
+        state = stored(state.join(wrong, _RANGE, "left_anti").unionByName(again), "ranges")
+    guessed = proposed(state).withColumn("_open", F.col("start") != F.col("before"))
+    guessed = guessed.withColumn("_open", F.max("_open").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    open_ranges = stored(guessed.filter("_open").select(*_RANGE, F.col("start").alias("before")), "open")
+    walked = attempts.join(open_ranges, _RANGE).repartition("actor", "burst").sortWithinPartitions(*_RANGE, "at_ms").mapInPandas(
+        _chained, f"{head}, before array<bigint>")
+    return state.drop("after").join(open_ranges, _RANGE, "left_anti").unionByName(walked)
 
 
 def invalid_rate_limit(attempts: DataFrame) -> DataFrame:
@@ -185,7 +286,8 @@ def invalid_rate_limit(attempts: DataFrame) -> DataFrame:
     Only counted attempts of the last minute matter, so a pause of a minute without
     an invalid attempt clears the state: attempts are cut into bursts there. Pauses
     are found over ranges of time, so an actor with most of the log is spread over
-    many tasks. Only bursts with enough invalid attempts are folded, batch by batch.
+    many tasks. Only bursts with enough invalid attempts are folded, each range of
+    RANGE_MS in its own task from the start that `_range_starts` finds for it.
     """
     hour = F.floor(F.col("at_ms") / 3_600_000)
     staged = attempts.withColumn("_inv_at", F.when(F.col("invalid"), F.col("at_ms")))
@@ -210,9 +312,10 @@ def invalid_rate_limit(attempts: DataFrame) -> DataFrame:
         (F.count_if("invalid") >= K.INVALID_LIMIT).alias("_dense")).filter("_dense")
     keys = ["actor", "burst"]
     calm = flat.join(dense, keys, "left_anti").withColumn("limited", F.lit(False))
-    busy = flat.join(dense, keys, "left_semi")
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in busy.schema.fields) + ", limited boolean"
-    folded = busy.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(_limit_batches, out)
+    busy = stored(flat.join(dense, keys, "left_semi").withColumn("range", F.floor(F.col("at_ms") / RANGE_MS)), "attempts")
+    starts = _range_starts(busy.select(*_RANGE, "at_ms", "invalid"))
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.schema.fields) + ", limited boolean"
+    folded = busy.join(starts, _RANGE).repartition(*_RANGE).sortWithinPartitions(*_RANGE, *order).mapInPandas(_limit_batches, out)
     return calm.unionByName(folded).drop("burst")
 
 

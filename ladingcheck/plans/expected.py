@@ -160,7 +160,7 @@ runs AS (
     l_shipdate AS started_at, CAST(l_quantity AS BIGINT) AS quantity
   FROM lineitem),
 cur AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY started_at DESC, run_id DESC) AS rn FROM runs) WHERE rn = 1),
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY started_at DESC, run_id DESC, quantity DESC) AS rn FROM runs) WHERE rn = 1),
 marked AS (SELECT *, run_id NOT IN (SELECT run_id FROM cur) AS old FROM runs)
 """
 
@@ -681,6 +681,17 @@ SELECT event_id, case_id, round((epoch_us(moment) - epoch_us(lag(moment) OVER (P
         "d16_run_durations": _with(_LOG, """
 SELECT case_id, run_id, round((epoch_us(max(moment) FILTER (WHERE type = 'CASE_COMPLETED')) - epoch_us(min(moment) FILTER (WHERE type = 'CASE_CREATED'))) / 1e6, 6) AS seconds
 FROM log GROUP BY 1, 2 HAVING count(*) FILTER (WHERE type = 'CASE_COMPLETED') > 0 AND count(*) FILTER (WHERE type = 'CASE_CREATED') > 0"""),
+        "d17_invalid_rate_limit": """
+WITH RECURSIVE a AS MATERIALIZED (
+  SELECT CAST(user_id % 10 AS VARCHAR) AS actor, epoch_ms(ts) // 2000 AS at_ms, event_type <> 'view' AS invalid,
+    row_number() OVER (PARTITION BY user_id % 10 ORDER BY epoch_ms(ts) // 2000, event_id) AS i FROM events),
+s AS (
+  SELECT actor, i, CASE WHEN invalid THEN [at_ms] ELSE CAST([] AS BIGINT[]) END AS counted, false AS limited FROM a WHERE i = 1
+  UNION ALL
+  SELECT actor, i, CASE WHEN invalid AND len(live) < 12 THEN list_append(live, at_ms) ELSE live END, len(live) >= 12
+  FROM (SELECT a.actor, a.i, a.at_ms, a.invalid, list_filter(s.counted, lambda t: a.at_ms - t < 60000) AS live
+        FROM s JOIN a ON a.actor = s.actor AND a.i = s.i + 1))
+SELECT actor, count(*) AS attempts, count(*) FILTER (WHERE limited) AS limited FROM s GROUP BY actor""",
         "d17_invalid_burst": """
 WITH a AS (SELECT printf('%012d', event_id) AS attempt_id, user_id % 10 AS actor, epoch_ms(ts) // 2000 AS at_ms, event_type <> 'view' AS invalid FROM events)
 SELECT attempt_id, n AS invalid_before, n >= 12 AS burst FROM (SELECT attempt_id,

@@ -11,9 +11,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ladingcheck import constants as K
 from ladingcheck.operators.runs import _STATUS_OF_EVENT
 
+#: Timers and several state variables a key need this provider; the session is told before the query starts.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 CASE_STATE = "case_id string, run_id string, status string, at timestamp"
 
 
+def _use_state_store(stream: DataFrame) -> None:
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
 class CaseState(StatefulProcessor):
     """Run, status and time of each case; events of an older run are ignored."""
 
@@ -42,6 +49,7 @@ class CaseState(StatefulProcessor):
 
 def stream_case_state(events: DataFrame) -> DataFrame:
     """Updates of the current state per case, from events in arrival order."""
+    _use_state_store(events)
     return events.groupBy("case_id").transformWithStateInPandas(
         statefulProcessor=CaseState(), outputStructType=CASE_STATE, outputMode="Update", timeMode="None")
 
@@ -73,6 +81,7 @@ class AttemptLimit(StatefulProcessor):
 
 
 def stream_rate_limit(attempts: DataFrame) -> DataFrame:
+    _use_state_store(attempts)
     return attempts.groupBy("actor").transformWithStateInPandas(
         statefulProcessor=AttemptLimit(),
         outputStructType="actor string, attempt_id string, at_ms long, limited boolean",

@@ -53,6 +53,30 @@ def test_rate_limit_equals_brute_force(spark):
     assert any(got.values()) and not all(got.values())
 
 
+def test_rate_limit_of_a_flood_without_pause(spark):
+    # Starts that never meet (one attempt a second), starts that do (random), equal times, ranges without a counted attempt.
+    rng = random.Random(5)
+    steady = [("steady", f"s{i:06d}", 1000 * i + 300, True) for i in range(4200)]
+    at, mixed = 0, []
+    for i in range(2500):
+        at += rng.choice([0, 1500, 3000, 6500])
+        mixed.append(("mixed", f"m{i:06d}", at, rng.random() < 0.7))
+    tail = [("tail", f"t{i:02d}", 590_000 + 500 * i, True) for i in range(14)] + [
+        ("tail", f"u{i:02d}", 600_500 + 7600 * i, False) for i in range(8)]
+    attempts = steady + mixed + tail
+    df = spark.createDataFrame(attempts, "actor string, attempt_id string, at_ms long, invalid boolean").repartition(7)
+    got = {r.attempt_id: r.limited for r in runs.invalid_rate_limit(df).collect()}
+    assert got == brute_limit(attempts)
+    assert got["u00"] and not got["u07"]
+
+
+def test_latest_run_is_determined_by_the_record(spark):
+    rows = [("EVAL", "c", "r1", 5, q) for q in (3, 9, None, 1)] + [("EVAL", "d", "r2", None, 4), ("EVAL", "d", "r2", None, 4)]
+    df = spark.createDataFrame(rows, "run_kind string, case_id string, run_id string, started_at long, quantity long")
+    for layout in (df.repartition(4), df.coalesce(1).orderBy("quantity")):
+        assert sorted((r.case_id, r.quantity) for r in runs.latest_run(layout).collect()) == [("c", 9), ("d", 4)]
+
+
 def test_call_budget_and_first_decision(spark):
     calls = spark.createDataFrame([("r", i) for i in range(10)], "run_id string, call_no long")
     assert classify.call_budget(calls, 4, bucket_size=3).filter("allowed").count() == 4
