@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from html import unescape
+from html.entities import html5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -169,18 +171,55 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
 
 
-def _plain(html: str) -> str:
+def _stripped(html: str) -> str:
     steps = [(r"(?s)<!--.*?-->", ""),
              (r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</(script|style|noscript|template)\s*>", ""),
              (r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/title|/article|/section|/header|/footer|/nav|/ul|/ol|/table)\b[^>]*>", None),
              (r"<[!/?a-zA-Z][^>]*>", "")]
     for pattern, by in steps:
         html = f"regexp_replace({html}, {_text(pattern)}, {'chr(10)' if by is None else _text(by)}, 'g')"
-    for name, sign in warc.ENTITIES:
-        html = f"replace({html}, {_text(name)}, {_text(sign)})"
-    html = f"regexp_replace({html}, '[ \\t\\r\\f]+', ' ', 'g')"
-    html = f"regexp_replace({html}, ' ?\\n[ \\n]*', chr(10), 'g')"
-    return f"regexp_replace({html}, '^[ \\n]+|[ \\n]+$', '', 'g')"
+    return html
+
+
+_REFERENCE = "'&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{1,32};?)'"
+
+
+def _tidied(text: str) -> str:
+    """Character references by the map `made` of table refs_made, then blanks and line feeds."""
+    text = (f"array_to_string(list_transform(list_zip(string_split_regex({text}, {_REFERENCE}), regexp_extract_all({text}, {_REFERENCE})), "
+            "lambda p: coalesce(p[1], '') || CASE WHEN p[2] IS NULL THEN '' ELSE made[p[2]] END), '')")
+    text = f"regexp_replace({text}, '[ \\t\\r\\f]+', ' ', 'g')"
+    text = f"regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g')"
+    return f"regexp_replace({text}, '^[ \\n]+|[ \\n]+$', '', 'g')"
+
+
+def _values(pairs) -> str:
+    """Rows of a key and a text, the text by its code points."""
+    return ", ".join(f"({k}, {' || '.join(f'chr({ord(c)})' for c in v) or _text('')})" for k, v in pairs)
+
+
+# HTML's names and the low numbers with a meaning of their own, from the standard library.
+_NAMES = _values((_text(name), sign) for name, sign in sorted(html5.items()))
+_LOW = _values((n, unescape(f"&#{n};")) for n in range(1, 160))
+_REFS = f"""
+names(name, sign) AS MATERIALIZED (SELECT * FROM (VALUES {_NAMES})),
+low(n, sign) AS MATERIALIZED (SELECT * FROM (VALUES {_LOW})),
+refs AS MATERIALIZED (
+  SELECT DISTINCT unnest(list_concat(regexp_extract_all(raw_title, {_REFERENCE}), regexp_extract_all(raw_text, {_REFERENCE}))) AS ref FROM x),
+numbers AS (
+  SELECT ref, TRY_CAST(CASE WHEN lower(ref[3]) = 'x' THEN '0x' || trim(ref[4:], ';') ELSE trim(ref[3:], ';') END AS BIGINT) AS n
+  FROM refs WHERE ref LIKE '&#%'),
+named AS (
+  SELECT ref, arg_max(sign || substr(ref, length(name) + 2), length(name)) AS sign
+  FROM (SELECT ref, unnest(generate_series(2, length(ref) - 1)) AS k FROM refs WHERE ref NOT LIKE '&#%')
+  JOIN names ON name = substr(ref, 2, k) GROUP BY ref),
+solved AS (
+  SELECT ref, CASE WHEN n IS NULL OR n > 1114111 OR n = 0 OR n BETWEEN 55296 AND 57343 THEN chr(65533)
+    WHEN n < 160 THEN sign WHEN n BETWEEN 64976 AND 65007 OR n % 65536 >= 65534 THEN '' ELSE chr(n::INTEGER) END AS sign
+  FROM numbers LEFT JOIN low USING (n)
+  UNION ALL SELECT ref, coalesce(sign, ref) FROM refs LEFT JOIN named USING (ref) WHERE ref NOT LIKE '&#%'),
+refs_made AS MATERIALIZED (
+  SELECT coalesce(map(list(ref), list(CASE WHEN sign[1] = chr(160) THEN ' ' || sign[2:] ELSE sign END)), MAP {{}}) AS made FROM solved)"""
 
 
 def _uuid(*parts: str) -> str:
@@ -198,15 +237,18 @@ s AS MATERIALIZED (
 d AS MATERIALIZED (
   SELECT *, 'sha256:' || sha256(block) AS digest, 'sha256:' || sha256(html) AS refers_to_digest, strlen(block) AS length FROM s),
 i AS MATERIALIZED (SELECT *, {_uuid("'response'", 'page_id', 'target_uri', 'digest')} AS refers_to FROM d),
+x AS MATERIALIZED (
+  SELECT *, {_stripped("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")} AS raw_title, {_stripped('html')} AS raw_text FROM i),
+{_REFS},
 k AS MATERIALIZED (
   SELECT i.*, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
     'source-content-type: application/http; msgtype=response' || {_NL} || 'source-content-length: ' || length || {_NL}
     || 'source-block-digest: ' || digest || {_NL} || 'source-payload-digest: ' || refers_to_digest || {_NL}
     || 'http-status: 200' || {_NL} || 'http-headers: ' || head || {_NL}
-    || 'title: ' || regexp_replace({_plain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")}, '\\s+', ' ', 'g') || {_NL}
-    || 'outlinks: ' || len(regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref\\s*=')) || {_NL} AS out FROM i
+    || 'title: ' || regexp_replace({_tidied('raw_title')}, '\\s+', ' ', 'g') || {_NL}
+    || 'outlinks: ' || len(regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref\\s*=')) || {_NL} AS out FROM x AS i, refs_made
   UNION ALL
-  SELECT i.*, 'conversion', 'text/plain', {_plain('html')} FROM i)
+  SELECT i.*, 'conversion', 'text/plain', {_tidied('raw_text')} FROM x AS i, refs_made)
 SELECT page_id, record_type, {_uuid('record_type', 'refers_to', "'sha256:' || sha256(out)")} AS record_id, refers_to, target_uri,
   '2024-01-01T00:00:00Z' AS date, content_type, 'text/html' AS payload_type, 'sha256:' || sha256(out) AS block_digest,
   'sha256:' || sha256(out) AS payload_digest, refers_to_digest, strlen(out)::BIGINT AS content_length, out AS block FROM k

@@ -20,11 +20,6 @@ RECORD = ("record_type", "record_id", "refers_to", "target_uri", "date", "conten
           "payload_digest", "refers_to_digest", "content_length", "block")
 _CRLF = "\r\n"
 
-#: The references that OP7_SQL resolves; plain_text() resolves all of HTML's.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#34;", '"'), ("&nbsp;", " "),
-            ("&amp;", "&")]
-
-
 _REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
 
 
