@@ -10,7 +10,8 @@ A bucket is a star: its members are compared with one centre, so a round makes a
 in buckets. The centre is the member of smallest rank, and the ranks are the same in all buckets, so the members of a group
 meet the same few centres. Every candidate is confirmed on the full sets. Where a bucket's members are not all connected
 afterwards, it goes on without its centre; members of the centre's component stay only if the triangle inequality (1 - J is a
-metric) leaves a link to another component open. From the third round on a bucket has several centres. The rounds end
+metric) leaves a link to another component open. From the third round on a bucket has several centres, four times as many
+a round. Labels of components are carried on, and only links between different ones are followed. The rounds end
 when no bucket has an open pair, so what the buckets propose is compared in full; only then is anything left out.
 
 Equal sets are one class from the start: exact copies make no rows in buckets.
@@ -147,29 +148,45 @@ def _stars(classes: DataFrame) -> DataFrame:
     return stored(rows.join(one, "b"), "stars")
 
 
-def _links(region: DataFrame, texts: DataFrame, width: int, part: int, whole: int) -> DataFrame | None:
-    """Links (a, b) that connect all that any links between members of one bucket connect; None without buckets."""
-    links, turn = None, 0
+def _merged(labels: DataFrame | None, links: DataFrame, turn: int) -> DataFrame:
+    """doc_id, label (the smallest id reachable) after new links (a, b); only links between different labels are followed."""
+    if labels is None:
+        return component_labels(links)
+    for end in ("a", "b"):
+        links = links.join(labels.select(F.col("doc_id").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
+    roots = stored(links.select(*[F.coalesce(f"label_{end}", end).alias(end) for end in ("a", "b")]).where("a <> b").distinct(), f"roots{turn}")
+    if not roots.limit(1).count():
+        return labels
+    moved = component_labels(roots)
+    old = labels.join(moved.select(F.col("doc_id").alias("label"), F.col("label").alias("to")), "label", "left").select(
+        "doc_id", F.coalesce("to", "label").alias("label"))
+    return stored(old.unionByName(moved.join(labels, "doc_id", "left_anti")), f"merged{turn}")
+
+
+def _linked(region: DataFrame, texts: DataFrame, width: int, part: int, whole: int) -> DataFrame | None:
+    """doc_id, label over all links between members of one bucket: the smallest id they reach; None without buckets."""
+    labels, turn = None, 0
     region = region.withColumn("outer", F.lit(True))
-    while region.limit(1).count():
+    while members := region.count():
         # Members that no link has reached come first, so each round settles at least one of them in every bucket.
         rank = F.struct(~F.col("outer"), F.xxhash64("x"), "x", "n")
-        slot = F.pmod(F.xxhash64(F.lit(turn), "x"), F.lit(1 << max(0, turn - 1)))
+        slots = 1 << min(30, max(0, 2 * turn - 2))
+        slot = F.pmod(F.xxhash64(F.lit(turn), "x"), F.lit(slots))
         centres = region.groupBy("b", slot.alias("slot")).agg(F.min(rank).alias("c")).select(
             "b", F.col("c.x").alias("p"), F.col("c.n").alias("n_p"))
-        near = stored(region.select("b", "x", "n").join(centres, "b").where("x <> p"), f"near{turn}")
+        near = stored(region.select("b", "x", "n").join(centres, "b").where("x <> p"), f"near{turn}", min(members * slots, 1 << 40))
+        edges = near.count()
         fits = whole * F.least("n", "n_p") >= part * F.greatest("n", "n_p")
-        measured = stored(_measured(near.where(fits).select("x", "p").distinct(), texts, width, part, whole), f"measured{turn}")
-        new = measured.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
-        links = new if links is None else links.unionAll(new)
-        labels = component_labels(links)
+        measured = stored(_measured(
+            near.where(fits).select("x", "p").distinct(), texts, width, part, whole), f"measured{turn}", edges)
+        labels = _merged(labels, measured.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b")), turn)
         far = near.join(measured, ["x", "p"], "left").select(
             "b", "x", "p", "n", F.coalesce("least_d", 1 - F.least("n", "n_p") / F.greatest("n", "n_p")).alias("least_d"),
             F.coalesce("most_d", F.lit(1.0)).alias("most_d"))
         for id_ in ("x", "p"):
             far = far.join(labels.select(F.col("doc_id").alias(id_), F.col("label").alias(f"label_{id_}")), id_, "left").withColumn(
                 f"label_{id_}", F.coalesce(f"label_{id_}", id_))
-        far = stored(far.withColumn("outer", F.col("label_x") != F.col("label_p")), f"far{turn}")
+        far = stored(far.withColumn("outer", F.col("label_x") != F.col("label_p")), f"far{turn}", edges)
         outside = far.where("outer").groupBy("b", "p").agg(F.min("least_d").alias("d_out"))
         # A little slack keeps rounding from closing the window.
         open_ = F.col("outer") | (F.col("most_d") >= F.col("d_out") - (whole - part) / whole - 1e-9)
@@ -178,9 +195,9 @@ def _links(region: DataFrame, texts: DataFrame, width: int, part: int, whole: in
         # A centre has been compared with the whole bucket.
         kept = kept.where("stays").join(centres.select("b", F.col("p").alias("x")), ["b", "x"], "left_anti")
         alone = kept.groupBy("b").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("b")
-        region = stored(kept.join(alone, "b").select("b", "x", "n", "outer"), f"open{turn}")
+        region = stored(kept.join(alone, "b").select("b", "x", "n", "outer"), f"open{turn}", members)
         turn += 1
-    return links
+    return labels
 
 
 def _of_classes(rows: DataFrame, classes: DataFrame, keys: list[str], total: int) -> DataFrame:
@@ -213,10 +230,10 @@ def near_duplicates(documents: DataFrame, width: int = 5, part: int = 80, whole:
     region = _stars(classes)
     wanted = region.select(F.col("x").alias("doc_id")).distinct()
     texts = stored(docs.join(wanted, "doc_id", "left_semi"), "star_texts")
-    links = _links(region, texts, width, part, whole)
+    labels = _linked(region, texts, width, part, whole)
     named = classes.select(*keys, "copies", F.col("rep").alias("component"))
-    if links is not None:
-        labels = component_labels(links).select(F.col("doc_id").alias("component"), "label")
+    if labels is not None:
+        labels = labels.select(F.col("doc_id").alias("component"), "label")
         named = named.join(labels, "component", "left").withColumn("component", F.coalesce("label", "component")).drop("label")
     named = stored(named, "components")
     found = _of_classes(some.select("doc_id", *keys), named, keys, sketches.count())
