@@ -17,8 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ladingcheck.llm import words as W
+from ladingcheck.llm.shared import quoted
 
 ORDER = 4
 UNIT = 1 << 16
@@ -164,12 +166,12 @@ def learn(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
                  counts.column("key").to_numpy().view(np.uint64), counts.column("n").to_numpy())
 
 
-def _identifier(sent, carried: list[str]):
+def _identifier(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model | None = sent.value
         for batch in batches:
             n = batch.num_rows
-            letters = np.array(batch.column("_letters").to_numpy(zero_copy_only=False), bool)
+            letters = np.array(batch.column("letters").to_numpy(zero_copy_only=False), bool)
             langs, scores, bits = np.full(n, "und", object), np.zeros(n), np.zeros(n)
             if model is not None:
                 for first, rows, data, offsets in W.pieces(batch.column("text"), 1 << 20):
@@ -180,7 +182,7 @@ def _identifier(sent, carried: list[str]):
                     langs[first + mine] = np.array(model.langs, object)[best[mine]]
                     scores[first + mine] = (1 / np.exp2(-np.minimum(more, 1000)).sum(axis=1))[mine]
                     bits[first + mine] = (lengths.min(axis=1) / UNIT / np.maximum(1, np.diff(offsets)))[mine]
-            yield pa.record_batch({**{c: batch.column(c) for c in carried}, "lang_pred": pa.array(langs, pa.string()),
+            yield pa.record_batch({"row": batch.column("row"), "lang_pred": pa.array(langs, pa.string()),
                                    "score": pa.array(scores), "bits": pa.array(bits)})
 
     return run
@@ -194,12 +196,15 @@ def identify(documents: DataFrame, carry: list[str] | None = None, sample_docs:
     doc_id or held-out ids are predicted like all others; columns named like a result are replaced.
     """
     new = ["lang_pred", "score", "bits"]
-    carry = [c for c in (documents.columns if carry is None else carry) if c not in new]
+    carry = [c for c in (documents.columns if carry is None else carry) if c.lower() not in new]
     sent = documents.sparkSession.sparkContext.broadcast(learn(documents, sample_docs))
-    rows = documents.select(*dict.fromkeys([*carry, "text"]), F.coalesce(
-        F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    fields = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in carry)
-    return rows.mapInArrow(_identifier(sent, carry), f"{fields}, lang_pred string, score double, bits double")
+    # The carried columns travel in a struct, so none of them can clash with a name used here.
+    rows = documents.select(F.struct(*quoted(carry)).alias("row"), "text", F.coalesce(
+        F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    row = T.StructType([T.StructField(c, documents.schema[c].dataType) for c in carry])
+    out = T.StructType().add("row", row).add("lang_pred", "string").add("score", "double").add("bits", "double")
+    found = rows.mapInArrow(_identifier(sent), out)
+    return found.select(*[F.col("row").getField(c).alias(c) for c in carry], *new)
 
 
 def held_out():
@@ -209,4 +214,4 @@ def held_out():
 def in_a_known_language(documents: DataFrame) -> DataFrame:
     """The documents whose text is in a learnt language: not `und`, and coded with at most MOST_BITS a byte."""
     found = identify(documents).where(F.col("lang_pred") != "und").where(F.col("bits") <= MOST_BITS)
-    return found.select(documents.columns)
+    return found.select(*quoted(documents.columns))

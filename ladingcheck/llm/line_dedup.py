@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ladingcheck.llm.shared import quoted
+
 WIDTH = 3
 
 
@@ -49,21 +51,27 @@ def line_dedup(documents: DataFrame) -> DataFrame:
 
     Lines end at line feeds. Texts of fewer than three lines have no window and stay; null stays null with 0 lines,
     the empty text is one line. Rows without doc_id take no part and stay as they are; rows of one doc_id count as one
-    place, so repeats of a row keep or lose the same lines. Columns of a clashing name (n_lines, n_removed) are replaced.
+    place, so repeats of a row keep or lose the same lines. Columns named n_lines or n_removed are replaced; all other extra columns, of any name,
+    pass unchanged.
     """
-    rest = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
-    gone = covered(documents.select("doc_id", "text")).withColumnRenamed("doc_id", "_id")
-    joined = documents.select(*rest).join(gone, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(_lines()) - 1), F.col("gone"))
+    rest = [c for c in documents.columns if c.lower() not in ("n_lines", "n_removed")]
+    # The input's columns travel in a struct, so none of them can clash with a name used here.
+    rows = documents.select(F.struct(*quoted(rest)).alias("row"), "doc_id", "text")
+    joined = rows.join(covered(documents.select("doc_id", "text")), "doc_id", "left").withColumn("lines", _lines())
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     # Line numbers are distinct, so array_except loses no line.
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
-    out = joined.withColumn("_lines", _lines()).withColumn("_text", text)
-    out = out.withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long")).withColumn(
-        "n_removed", F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long"))
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines")))
-    shown = [F.col("_text").alias("text") if c == "text" else F.when(
-        F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast(documents.schema["n_chars"].dataType)).alias(
-        "n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in rest]
-    return out.select(*shown, "n_lines", "n_removed")
+        F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
+    out = joined.withColumn("left", text)
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("lines")).cast("long")
+    n_removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long")
+
+    def shown(c: str):
+        own = F.col("row").getField(c)
+        if c == "text":
+            return F.col("left").alias(c)
+        if c == "n_chars":
+            return F.when(F.col("gone").isNull(), own).otherwise(F.length("left").cast(documents.schema[c].dataType)).alias(c)
+        return own.alias(c)
 
+    return out.select(*[shown(c) for c in rest], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
