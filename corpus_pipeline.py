@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ladingcheck.llm import decontaminate, language_id, line_dedup, mixing, ngram_jaccard
-from ladingcheck.llm.shared import stored, table
+from ladingcheck.llm.shared import quoted, stored, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that later occurrences of repeated three-line windows cover go; documents that lose all their lines go with them."""
     clean = line_dedup.line_dedup(docs)
-    return clean.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))).select(docs.columns)
+    return clean.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))).select(*quoted(docs.columns))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
