@@ -56,7 +56,7 @@ def line_dedup(documents: DataFrame) -> DataFrame:
     """
     rest = [c for c in documents.columns if c.lower() not in ("n_lines", "n_removed")]
     # The input's columns travel in a struct, so none of them can clash with a name used here.
-    rows = documents.select(F.struct(*quoted(rest)).alias("row"), "doc_id", "text")
+    rows = documents.select(F.struct(*quoted(c for c in rest if c != "text")).alias("row"), "doc_id", "text")
     joined = rows.join(covered(documents.select("doc_id", "text")), "doc_id", "left").withColumn("lines", _lines())
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     # Line numbers are distinct, so array_except loses no line.
