@@ -182,7 +182,8 @@ def page_blocks(pages: DataFrame) -> DataFrame:
         s["line"].alias("line"), s["label"].alias("label"), s["value"].alias("value")))
     return (
         lined.withColumn("spans", F.array_sort(F.concat("colon", columns)))
-        .select("document_id", "page", F.posexplode("spans").alias("i", "s"))
+        # The outer form: the inner one makes the planner test the size of the spans first, cutting every page twice.
+        .select("document_id", "page", F.posexplode_outer("spans").alias("i", "s")).filter("s is not null")
         .select(
             "document_id", "page",
             (F.col("page").cast("bigint") * PAGE_STEP + F.col("i")).alias("ord"),
