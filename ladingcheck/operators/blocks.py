@@ -271,21 +271,25 @@ def grid_blocks(cells: DataFrame) -> DataFrame:
         "second": F.lead("text", 2).over(right),
         "others": F.collect_list(F.when(table, F.col("text"))).over(whole),
         "place": F.row_number().over(right),
-        "spans": label_spans(F.col("text")),
     })
-    in_cell = paired.filter(F.size("spans") > 0).select(
-        "document_id", "container", "row", "col", F.posexplode("spans").alias("i", "s"),
-    ).select("document_id", "container", "row", "col", "i", F.col("s.label").alias("label"),
-             F.col("s.value").alias("value"), F.col("col").alias("value_col"),
-             F.array().cast("array<string>").alias("extra"))
     label = strip(F.rtrim(strip(F.col("text")), F.lit(":")))
     extra = F.when(F.col("kind") == "sheet", F.array_compact(F.array("second"))).otherwise(
         F.slice("others", F.col("place") + 2, F.size("others")))
-    pairs = paired.filter((F.size("spans") == 0) & F.col("next_text").isNotNull()).select(
-        "document_id", "container", "row", "col", F.lit(0).alias("i"), label.alias("label"),
-        F.col("next_text").alias("value"), F.col("next_col").alias("value_col"), extra.alias("extra"),
-    ).filter("label != ''")
-    return in_cell.unionByName(pairs)
+
+    def piece(i, label, value, value_col, extra):
+        return F.struct(i.cast("int").alias("i"), label.alias("label"), value.alias("value"),
+                        value_col.alias("value_col"), extra.cast("array<string>").alias("extra"))
+
+    def pieces(spans):
+        return F.when(F.size(spans) > 0, F.transform(
+            spans, lambda s, i: piece(i, s["label"], s["value"], F.col("col"), F.array()))
+        ).otherwise(F.filter(F.array(piece(F.lit(0), label, F.col("next_text"), F.col("next_col"), extra)),
+                             lambda p: p["value"].isNotNull() & (p["label"] != "")))
+
+    # Both kinds leave one pass over the windows; a cell is cut once.
+    return paired.select(
+        "document_id", "container", "row", "col", F.explode_outer(let(label_spans(F.col("text")), pieces)).alias("p"),
+    ).filter("p is not null").select("document_id", "container", "row", "col", "p.*")
 
 
 # --- status of a document ---------------------------------------------------------------
