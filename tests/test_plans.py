@@ -1,5 +1,6 @@
 """Work that a plan may hold once only: costly expressions must not be written out again in filters."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from ladingcheck.operators import blocks, ground
@@ -59,3 +60,51 @@ def test_inventory_reads_no_blocks(spark, sf_dir):
 
     plan = _plan(queries.all_queries()["a06_inventory"](spark, sf_dir))
     assert "InMemoryRelation" not in plan and "label_locator" not in plan
+
+
+def _kept(spark, sf_dir, name):
+    """Columns of the tables that a query keeps, by table."""
+    from ladingcheck.plans import queries
+
+    queries.release()
+    queries.all_queries()[name](spark, sf_dir)
+    kept = {key[2]: df.columns for key, df in queries._SHARED.items()}
+    queries.release()
+    return kept
+
+
+@pytest.mark.parametrize("name", [
+    "a02_counts_by", "a04_validation_report", "c02_compare", "c03_confidence", "c08_review_requirement", "c09_review_text",
+    "c10_verify", "d20_emit_history", "d21_pending_work"])
+def test_one_reading_of_the_cases_keeps_no_rows(spark, sf_dir, name):
+    assert _kept(spark, sf_dir, name) == {}
+
+
+@pytest.mark.parametrize("name", ["c05_roll_up", "d01_validate_decisions", "e01_confusion", "e02_prf", "e05_reliability"])
+def test_two_readings_keep_only_what_they_need(spark, sf_dir, name):
+    kept = _kept(spark, sf_dir, name)
+    assert len(kept) == 1 and not {"si_outcomes", "listed", "documents"} & set(*kept.values())
+
+
+@pytest.mark.parametrize("name", ["d06_override_values", "d07_operational_roles"])
+def test_applied_decisions_keep_no_documents(spark, sf_dir, name):
+    assert not {"documents", "applied"} & set(_kept(spark, sf_dir, name))
+
+
+def test_words_of_a_pattern_are_in_its_matches(spark):
+    texts = [
+        "SHIPPING INSTRUCTION", "Shipment\tinstructions", "BL instruction", "B/L Instructions", "bill of lading instructions",
+        "booking instruction", "Draft Bill of Lading", "BL draft", "b/l\tDRAFT", "Sea Waybill", "house bill of lading",
+        "COMMERCIAL INVOICE", "proforma invoice", "Packing\x0bList", "certificate of origin", "insurance certificate",
+        "Debit note", "credit note", "delivery order", "B/L No", "blnumber", "bill of lading no 4", "Export Carrier",
+        "on board date", "freight prepaid", "Booking Ref", "OC NO", "oc\tno", "oc\fno", "shipping mark", "kinds of packages",
+        "This is not a shipping instruction", "nothing of the kind", "", "dock", "oc\n\nno"]
+    form = blocks.matching.plain_form
+    row = spark.createDataFrame([(t,) for t in texts + ["a\n" + t + "\nb" for t in texts]], "t string")
+    plain = {f"p{i}": blocks.matching.count_not_negated(F.col("t"), form(p)) for i, p in enumerate(blocks._HINTS)}
+    for i, (pattern, words) in enumerate(blocks._HINTS.items()):
+        held = F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower("t"), w))
+        assert not row.filter((plain[f"p{i}"] > 0) & ~held).count(), pattern
+    # The same scores as the form for other texts, which searches for every pattern.
+    scored = row.select(blocks.role_scores(F.col("t")).alias("a"), blocks.role_scores(F.concat("t", F.lit("\n毛"))).alias("b"))
+    assert [r for r in scored.collect() if r.a != r.b] == []
