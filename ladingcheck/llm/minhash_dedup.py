@@ -6,13 +6,9 @@ edges. Optimal densification: an empty bin takes the value of a full one, the fi
 its own that is the same for all documents, so bins stay as independent as full ones. BANDS bands of ROWS bins are hashed to
 bucket numbers; documents of similarity 0.85 share no bucket with probability (1 - 0.85^ROWS)^BANDS = 2.6e-7 (0.8: 6e-5).
 
-A bucket is a star: its members are compared with one centre, so a round makes as many candidate edges as there are members
-in buckets. The centre is the member of smallest rank, and the ranks are the same in all buckets, so the members of a group
-meet the same few centres. Every candidate is confirmed on the full sets. Where a bucket's members are not all connected
-afterwards, it goes on without its centre; members of the centre's component stay only if the triangle inequality (1 - J is a
-metric) leaves a link to another component open. From the third round on a bucket has several centres, four times as many
-a round. Labels of components are carried on, and only links between different ones are followed. The rounds end
-when no bucket has an open pair, so what the buckets propose is compared in full; only then is anything left out.
+The members of a bucket are compared on full sets in blocks of bounded size (`near_pairs`): what links have connected is not
+compared again, and members that hold too much that nobody else in the buckets holds go by an exact bound. Every pair that
+the buckets propose is compared, connected or excluded; only then is anything left out.
 
 Equal sets are one class from the start: exact copies make no rows in buckets.
 """
@@ -26,15 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ladingcheck.llm import near_pairs
 from ladingcheck.llm import words as W
-from ladingcheck.llm.ngram_jaccard import _labels as component_labels
 from ladingcheck.llm.shared import stored
 
 BANDS = 32
 ROWS = 6
 BINS = BANDS * ROWS
-#: Groups over which the members of one centre are spread when texts meet.
-SALTS = 64
 #: At most this many classes hold more than one part in HEAVY of all rows each; those are broadcast.
 HEAVY = 10_000
 #: Lower bits of the two hashes whose sums stand for a bucket's members; sums of 2^27 members stay within 63 bits.
@@ -96,108 +90,17 @@ def _sketches(width: int):
     return run
 
 
-def _distances(width: int):
-    """Shared shingles and all shingles of pairs of texts; rows with one centre in a row read its text once."""
-    def sets(texts: pa.Array) -> list[np.ndarray]:
-        return [s for _, _, data, offsets in W.pieces(texts) for s in _sets(data, offsets, width)]
+def _text_sets(width: int) -> near_pairs.Sets:
+    return lambda texts: [s for _, _, data, offsets in W.pieces(texts) for s in _sets(data, offsets, width)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                p = batch.column("p").to_numpy()
-                new = np.concatenate([[True], p[1:] != p[:-1]])
-                centres, turn = sets(batch.column("text_p").take(pa.array(np.flatnonzero(new)))), np.cumsum(new) - 1
-                both, either = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
-                for i, own in enumerate(sets(batch.column("text_x"))):
-                    other = centres[turn[i]]
-                    place = np.searchsorted(other, own)
-                    place[place == len(other)] = 0
-                    both[i] = np.count_nonzero(other[place] == own) if len(other) else 0
-                    either[i] = len(own) + len(other) - both[i]
-                yield pa.record_batch({"x": batch.column("x"), "p": batch.column("p"), "both": pa.array(both), "either": pa.array(either)})
-
-    return run
 
-
-def _measured(pairs: DataFrame, texts: DataFrame, width: int, part: int, whole: int) -> DataFrame:
-    """x, p, linked, least_d, most_d of pairs (x, p), on full sets.
-
-    The text of x moves to its pairs, then both texts of a pair meet by centre and a salt of x, so that a centre of many
-    members fills no task.
-    """
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)))
-    left = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text_x")), "x")
-    right = pairs.select("p", "salt").distinct().join(
-        texts.select(F.col("doc_id").alias("p"), F.col("text").alias("text_p")), "p")
-    rows = left.join(right, ["p", "salt"]).select("x", "p", "text_x", "text_p")
-    found = rows.mapInArrow(_distances(width), "x long, p long, both long, either long")
-    distance = 1 - F.col("both") / F.col("either")
-    # One row a pair, unless an id stands for several texts: then the nearest texts count.
-    return found.groupBy("x", "p").agg(
-        F.bool_or(whole * F.col("both") >= part * F.col("either")).alias("linked"), F.min(distance).alias("least_d"),
-        F.max(distance).alias("most_d"))
-
-
-def _stars(classes: DataFrame) -> DataFrame:
-    """b, x, n: members of all buckets of two or more; of buckets with the same members one is left."""
+def _members(classes: DataFrame) -> DataFrame:
+    """b, x, n, members: members of all buckets of two or more; of buckets with the same members one is left."""
     rows = classes.select(F.explode("buckets").alias("b"), F.col("rep").alias("x"), F.col("n_shingles").alias("n"))
     part = lambda *c: F.sum(F.xxhash64(*c).bitwiseAND(F.lit(_PART)))
     sums = rows.groupBy("b").agg(F.count(F.lit(1)).alias("members"), part("x").alias("s1"), part(F.lit(7), "x").alias("s2"))
-    one = sums.where("members > 1").groupBy("members", "s1", "s2").agg(F.min("b").alias("b")).select("b")
-    return stored(rows.join(one, "b"), "stars")
-
-
-def _merged(labels: DataFrame | None, links: DataFrame, turn: int) -> DataFrame:
-    """doc_id, label (the smallest id reachable) after new links (a, b); only links between different labels are followed."""
-    if labels is None:
-        return component_labels(links)
-    for end in ("a", "b"):
-        links = links.join(labels.select(F.col("doc_id").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
-    roots = stored(links.select(*[F.coalesce(f"label_{end}", end).alias(end) for end in ("a", "b")]).where("a <> b").distinct(), f"roots{turn}")
-    if not roots.limit(1).count():
-        return labels
-    moved = component_labels(roots)
-    old = labels.join(moved.select(F.col("doc_id").alias("label"), F.col("label").alias("to")), "label", "left").select(
-        "doc_id", F.coalesce("to", "label").alias("label"))
-    return stored(old.unionByName(moved.join(labels, "doc_id", "left_anti")), f"merged{turn}")
-
-
-def _linked(region: DataFrame, texts: DataFrame, width: int, part: int, whole: int) -> DataFrame | None:
-    """doc_id, label over all links between members of one bucket: the smallest id they reach; None without buckets."""
-    labels, turn = None, 0
-    region = region.withColumn("outer", F.lit(True))
-    while members := region.count():
-        # Members that no link has reached come first, so each round settles at least one of them in every bucket.
-        rank = F.struct(~F.col("outer"), F.xxhash64("x"), "x", "n")
-        slots = 1 << min(30, max(0, 2 * turn - 2))
-        slot = F.pmod(F.xxhash64(F.lit(turn), "x"), F.lit(slots))
-        centres = region.groupBy("b", slot.alias("slot")).agg(F.min(rank).alias("c")).select(
-            "b", F.col("c.x").alias("p"), F.col("c.n").alias("n_p"))
-        near = stored(region.select("b", "x", "n").join(centres, "b").where("x <> p"), f"near{turn}", min(members * slots, 1 << 40))
-        edges = near.count()
-        fits = whole * F.least("n", "n_p") >= part * F.greatest("n", "n_p")
-        measured = stored(_measured(
-            near.where(fits).select("x", "p").distinct(), texts, width, part, whole), f"measured{turn}", edges)
-        labels = _merged(labels, measured.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b")), turn)
-        far = near.join(measured, ["x", "p"], "left").select(
-            "b", "x", "p", "n", F.coalesce("least_d", 1 - F.least("n", "n_p") / F.greatest("n", "n_p")).alias("least_d"),
-            F.coalesce("most_d", F.lit(1.0)).alias("most_d"))
-        for id_ in ("x", "p"):
-            far = far.join(labels.select(F.col("doc_id").alias(id_), F.col("label").alias(f"label_{id_}")), id_, "left").withColumn(
-                f"label_{id_}", F.coalesce(f"label_{id_}", id_))
-        far = stored(far.withColumn("outer", F.col("label_x") != F.col("label_p")), f"far{turn}", edges)
-        outside = far.where("outer").groupBy("b", "p").agg(F.min("least_d").alias("d_out"))
-        # A little slack keeps rounding from closing the window.
-        open_ = F.col("outer") | (F.col("most_d") >= F.col("d_out") - (whole - part) / whole - 1e-9)
-        kept = far.join(outside, ["b", "p"], "left").groupBy("b", "x").agg(
-            F.max("n").alias("n"), F.bool_and(F.col("d_out").isNotNull() & open_).alias("stays"), F.bool_and("outer").alias("outer"))
-        # A centre has been compared with the whole bucket.
-        kept = kept.where("stays").join(centres.select("b", F.col("p").alias("x")), ["b", "x"], "left_anti")
-        alone = kept.groupBy("b").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("b")
-        region = stored(kept.join(alone, "b").select("b", "x", "n", "outer"), f"open{turn}", members)
-        turn += 1
-    return labels
+    one = sums.where("members > 1").groupBy("members", "s1", "s2").agg(F.min("b").alias("b")).select("b", "members")
+    return stored(rows.join(one, "b"), "buckets")
 
 
 def _of_classes(rows: DataFrame, classes: DataFrame, keys: list[str], total: int) -> DataFrame:
@@ -227,14 +130,10 @@ def near_duplicates(documents: DataFrame, width: int = 5, part: int = 80, whole:
     some = sketches.where("n_shingles > 0")
     classes = stored(some.groupBy(*keys).agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("buckets").alias("buckets")), "classes")
-    region = _stars(classes)
-    wanted = region.select(F.col("x").alias("doc_id")).distinct()
-    texts = stored(docs.join(wanted, "doc_id", "left_semi"), "star_texts")
-    labels = _linked(region, texts, width, part, whole)
-    named = classes.select(*keys, "copies", F.col("rep").alias("component"))
-    if labels is not None:
-        labels = labels.select(F.col("doc_id").alias("component"), "label")
-        named = named.join(labels, "component", "left").withColumn("component", F.coalesce("label", "component")).drop("label")
+    labels = near_pairs.components(_members(classes), docs, _text_sets(width), part, whole).select(
+        F.col("doc_id").alias("component"), "label")
+    named = classes.select(*keys, "copies", F.col("rep").alias("component")).join(labels, "component", "left").withColumn(
+        "component", F.coalesce("label", "component")).drop("label")
     named = stored(named, "components")
     found = _of_classes(some.select("doc_id", *keys), named, keys, sketches.count())
     out = found.select("doc_id", "n_shingles", F.col("component").alias("component_id")).unionAll(

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ladingcheck.llm import words as W
+from ladingcheck.llm.near_pairs import component_labels
 from ladingcheck.llm.shared import bucketed, stored
 
 #: Slots of the table of counts that orders shingles; fixed, so what is broadcast is 4 bytes each at any input size.
@@ -191,34 +192,6 @@ def _overlaps_of(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return found.groupBy("x", "p").agg(F.max("shared").alias("shared"))  # an id may stand in several rows
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    """doc_id, label of every linked document: the smallest id reachable over links (a, b).
-
-    All other ends of a document's links are first tied to its smallest one, which leaves about one link a document. Then labels
-    go to neighbours, and on to the label's own label, until none changes.
-    """
-    links = links.distinct()
-    least = links.groupBy("b").agg(F.min("a").alias("m"))
-    tied = links.join(least, "b").where("a <> m").select("a", F.col("m").alias("b")).distinct()
-    few = least.select(F.col("m").alias("a"), "b").unionAll(tied)
-    both = stored(few.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
-                  .select("e.*"), "both")
-    n = both.count()
-    labels = stored(both.groupBy(F.col("a").alias("doc_id")).agg(F.min(F.least("a", "b")).alias("label")), "labels", n)
-    while True:
-        near = (both.join(labels.withColumnRenamed("doc_id", "b"), "b").groupBy(F.col("a").alias("doc_id"))
-                .agg(F.min("label").alias("near")))
-        step = labels.join(near, "doc_id").select(
-            "doc_id", F.least("label", "near").alias("next"), F.col("label").alias("old"))
-        jump = labels.select(F.col("doc_id").alias("next"), F.col("label").alias("far"))
-        new = stored(step.join(jump, "next", "left").select(
-            "doc_id", F.least("next", "far").alias("label"), "old"), "labels", n)
-        changed = new.where("label <> old").limit(1).count()
-        labels = new.drop("old")
-        if not changed:
-            return labels
-
-
 def _with_common_pivots(near: DataFrame, large: Column, rows: int) -> DataFrame:
     """near with one pivot for as many large regions as possible, so that a document is measured to few pivots.
 
@@ -302,7 +275,7 @@ def ngram_jaccard(documents: DataFrame, width: int = 5, part: int = 80, whole: i
         far = stored(far, f"far{level}", n_region)
         new = far.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
         links = new if links is None else links.unionAll(new)
-        labels = _labels(links)
+        labels = component_labels(links)
         for id_ in ("x", "p"):
             far = far.join(labels.select(F.col("doc_id").alias(id_), F.col("label").alias(f"label_{id_}")), id_, "left").withColumn(
                 f"label_{id_}", F.coalesce(f"label_{id_}", id_))
@@ -325,7 +298,7 @@ def ngram_jaccard(documents: DataFrame, width: int = 5, part: int = 80, whole: i
     more = found.where(whole * F.col("shared") >= part * (F.col("n") + F.col("n_p") - F.col("shared"))).select(
         F.col("p").alias("a"), F.col("x").alias("b"))
     # What the levels have connected stands for its documents: only links between their labels are new.
-    final = _labels(labels.where("doc_id <> label").select(F.col("label").alias("a"), F.col("doc_id").alias("b")).unionAll(more))
+    final = component_labels(labels.where("doc_id <> label").select(F.col("label").alias("a"), F.col("doc_id").alias("b")).unionAll(more))
     component = final.select(F.col("doc_id").alias("rep"), F.col("label").alias("component"))
     return members.join(component, "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
