@@ -27,6 +27,8 @@ from ladingcheck.llm.shared import stored
 BLOCK = 256
 #: Members of a large group that are in all of its blocks.
 CENTRES = 4
+#: Members of a block whose distances to all others prune pairs by the triangle inequality (1 - J is a metric).
+PIVOTS = 2
 #: Rows whose sets are made at once.
 ROWS = 1000
 
@@ -45,14 +47,23 @@ def links_within(ids: np.ndarray, labels: np.ndarray, own: list[np.ndarray], par
     parts = [tokens[b - k:b] for b, k in zip(stops, sizes)]
     flags = np.zeros(len(tokens), bool)
     later = np.arange(len(ids))
+    distances: list[np.ndarray] = []
     for i in range(len(ids) - 1):
         others = later[i + 1:]
         others = others[(labels[others] != labels[i]) & (whole * np.minimum(sizes[others], sizes[i]) >= part * np.maximum(sizes[others], sizes[i]))]
         others = others[sizes[others] > 0]
-        if not len(others):
+        for d in distances:  # a little slack for rounding
+            others = others[np.abs(d[others] - d[i]) <= (whole - part) / whole + 1e-9]
+        pivot = len(distances) < PIVOTS and len(ids) > 4 * PIVOTS and sizes[i]
+        if not len(others) and not pivot:
             continue
         flags[parts[i]] = True
-        shared = np.array([np.count_nonzero(flags[parts[j]]) for j in others])
+        if pivot:
+            both = np.array([np.count_nonzero(flags[p]) for p in parts])
+            distances.append(1 - both / (sizes[i] + sizes - both))
+            shared = both[others]
+        else:
+            shared = np.array([np.count_nonzero(flags[parts[j]]) for j in others])
         flags[parts[i]] = False
         near = others[whole * shared >= part * (sizes[i] + sizes[others] - shared)]
         if len(near):
@@ -98,8 +109,8 @@ def _links(sets: Sets, part: int, whole: int):
 def _in_blocks(rows: DataFrame, docs: DataFrame, sets: Sets, part: int, whole: int, what: str) -> DataFrame:
     """The links of rows (block, x, label)."""
     moved = rows.join(docs.select(F.col("doc_id").alias("x"), "text"), "x")
-    dealt = moved.select("block", "x", "label", "text").repartition("block").sortWithinPartitions("block")
-    return stored(dealt.mapInArrow(_links(sets, part, whole), "a long, b long"), what)
+    met = moved.select("block", "x", "label", "text").repartition("block").sortWithinPartitions("block")
+    return stored(met.mapInArrow(_links(sets, part, whole), "a long, b long"), what)
 
 
 def _hashes(sets: Sets):
@@ -117,7 +128,12 @@ def _hashes(sets: Sets):
     return run
 
 
-def _unconnected(rows: DataFrame) -> DataFrame:
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with the label of x; x itself where it has none."""
+    return rows.join(labels.select(F.col("doc_id").alias("x"), "label"), "x", "left").withColumn("label", F.coalesce("label", "x"))
+
+
+def unconnected(rows: DataFrame) -> DataFrame:
     """rows (b, x, n, label) of the groups with more than one label, with the number of their members."""
     mixed = rows.groupBy("b").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"))
     return rows.join(mixed.where("low < high").select("b", "members"), "b")
@@ -142,36 +158,47 @@ def _closed(rows: DataFrame, docs: DataFrame, sets: Sets, part: int, whole: int)
     return private.join(sizes, "x").where(whole * (F.col("n") - F.col("private")) < part * F.col("n")).join(once, "x").select("x")
 
 
-def _dealt(members: str, most: int) -> Column:
+def in_pairs(rows: DataFrame, most: int) -> DataFrame:
+    """rows (b, x, members) with `block`, dealt into blocks of about `most` members such that any two of a group meet in one."""
+    rows = rows.withColumn("blocks", dealt("members", max(1, most // 2))).withColumn(
+        "blocks", F.when(F.col("members") > most, F.col("blocks")).otherwise(1)).withColumn(
+        "i", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    return rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("i <> j or blocks = 1").withColumn(
+        "block", F.xxhash64("b", F.least("i", "j"), F.greatest("i", "j"))).drop("blocks", "i", "j")
+
+
+def dealt(members: str, most: int) -> Column:
     return F.ceil(F.col(members) / most).cast("int")
 
 
-def components(groups: DataFrame, docs: DataFrame, sets: Sets, part: int, whole: int) -> DataFrame:
+def components(groups: DataFrame, docs: DataFrame, sets: Sets, part: int, whole: int, known: DataFrame | None = None) -> DataFrame:
     """doc_id, label (the smallest id that links reach) of every member of groups that has a link.
 
+    known: doc_id, label of what is connected already; it is part of the result.
+
     groups: b, x, n, members, one row for each member of a group, n the size of its set, members that of the group; docs:
     doc_id, text; sets: the sorted distinct shingle hashes of each row of a text column. An id may stand for several texts.
     """
     place = F.xxhash64("x")
-    rows = groups.select(F.xxhash64("b", F.pmod(place, _dealt("members", BLOCK)).cast("int")).alias("block"), "x", F.col("x").alias("label"))
+    rows = groups.select(F.xxhash64("b", F.pmod(place, dealt("members", BLOCK)).cast("int")).alias("block"), "x", F.col("x").alias("label"))
     large = groups.where(F.col("members") > BLOCK)
     centres = large.groupBy("b", F.pmod(F.xxhash64(F.lit(1), "x"), F.lit(CENTRES)).alias("turn")).agg(
         F.min(F.struct(F.xxhash64(F.lit(2), "x"), "x")).alias("c"), F.max("members").alias("members")).select(
-        "b", F.col("c.x").alias("x"), F.explode(F.sequence(F.lit(0), _dealt("members", BLOCK) - 1)).alias("i")).select(
+        "b", F.col("c.x").alias("x"), F.explode(F.sequence(F.lit(0), dealt("members", BLOCK) - 1)).alias("i")).select(
         F.xxhash64("b", "i").alias("block"), "x", F.col("x").alias("label"))
-    labels = component_labels(_in_blocks(rows.unionAll(centres), docs, sets, part, whole, "links"))
-    named = large.select("b", "x", "n").join(
-        labels.select(F.col("doc_id").alias("x"), "label"), "x", "left").withColumn("label", F.coalesce("label", "x"))
-    rest = stored(_unconnected(named), "unconnected")
+    rows = rows.unionAll(centres)
+    if known is not None:
+        rows = labelled(rows.drop("label"), known)
+    links = _in_blocks(rows, docs, sets, part, whole, "links")
+    labels = component_labels(links) if known is None else merged(known, links)
+    rest = stored(unconnected(labelled(large.select("b", "x", "n"), labels)), "unconnected")
     if not rest.limit(1).count():
         return labels
     rest = rest.drop("members")
-    rest = stored(_unconnected(rest.join(_closed(rest, docs, sets, part, whole), "x", "left_anti").select("b", "x", "n", "label")), "open")
+    rest = stored(unconnected(rest.join(_closed(rest, docs, sets, part, whole), "x", "left_anti").select("b", "x", "n", "label")), "open")
     if not rest.limit(1).count():
         return labels
-    rest = rest.withColumn("blocks", _dealt("members", BLOCK // 2)).withColumn("i", F.pmod(place, F.col("blocks")).cast("int"))
-    pairs = rest.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("i <> j or blocks = 1").select(
-        F.xxhash64("b", F.least("i", "j"), F.greatest("i", "j")).alias("block"), "x", "label")
+    pairs = in_pairs(rest, BLOCK).select("block", "x", "label")
     return merged(labels, _in_blocks(pairs, docs, sets, part, whole, "more_links"))
 
 

@@ -8,13 +8,12 @@
   |x without y| <= r |x|, so the first common shingle of both is among the first floor(r |x|) + 1 of x and of y: the
   window into which x is replicated. The order puts shingles that are frequent in the corpus last (a fixed-size table
   of counts over all documents says which), so shared passages do not make large regions.
-* Level 1 and on: in each region the member of smallest rank is the pivot p. Distances to p are computed exactly, or
-  bounded from below by bitmaps where they are surely large. Members within r are linked with p; all that links have
-  connected so far gets a common label. Members of other labels than p's go on to the next level, and of p's own those x
-  that the triangle inequality leaves open: d(x, p) >= d(y, p) - r for the nearest y of another label. A large group
-  of near copies is a ball or two; it is never expanded into pairs.
+* First, each document goes with its text to the region of its first shared shingle. What is linked there is connected;
+  in a block of documents the first ones are pivots, and the triangle inequality spares pairs whose distances to
+  a pivot differ by more than r (`near_pairs`). Large groups of near copies are one component from here on.
+* Then the members of all regions that are not connected meet by bitmaps, which bound the distance of a pair from below; regions
+  with the same members count once. The few pairs that may be linked are compared on full sets, in blocks again.
 
-What is left after PIVOT_LEVELS levels, members of a region that are far from each other, is compared pair by pair.
 Equal sets are one class from the start, so exact copies cost nothing. Nothing is dropped: the result is exact but for
 collisions of 58-bit shingle hashes.
 """
@@ -25,29 +24,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ladingcheck.llm import near_pairs
 from ladingcheck.llm import words as W
-from ladingcheck.llm.near_pairs import component_labels
-from ladingcheck.llm.shared import bucketed, stored
+from ladingcheck.llm.shared import stored
 
 #: Slots of the table of counts that orders shingles; fixed, so what is broadcast is 4 bytes each at any input size.
 SLOTS = 1 << 18
 #: Slots that are summed as one row.
 BLOCK = 1 << 12
-PIVOT_LEVELS = 2
-#: Members from which on a region's pivot is measured to all that may be within twice the radius.
-LARGE = 8
 #: Least bits of a document that tell, for each of as many classes of shingles, whether their number is odd; longer
 #: documents have the power of two up to their shingles. Every shingle of one set alone changes one bit, so as many bits
 #: as differ, as many shingles at least are not shared: an exact bound. Half the bits are the halves' exclusive or.
 BITMAP = 1024
-#: Groups over which the members of a pivot are spread.
-SALTS = 64
-#: Regions up to this size end the pivot levels.
-SMALL = 200
+#: Regions up to this size are one block of bitmaps; larger ones are dealt into blocks in which any two members meet.
+SMALL = 1024
+#: Lower bits of the hashes whose sums stand for a region's members; sums of 2^27 members stay within 63 bits.
+_PART = (1 << 36) - 1
 _HASH = np.uint64((1 << 58) - 1)
 
 
@@ -125,8 +120,7 @@ def _prints(width: int, rest: int, whole: int, order) -> object:
     return run
 
 
-def _overlaps(width: int):
-    """What the sets of two texts share, and the size of either; rows with the same p in a row read it once."""
+def _text_sets(width: int) -> near_pairs.Sets:
     def sets(texts: pa.Array) -> list[np.ndarray]:
         out = []
         for _, rows, data, offsets in W.pieces(texts):
@@ -135,77 +129,94 @@ def _overlaps(width: int):
             out += [np.unique(hashes[ends[i] - counts[i]:ends[i]]) for i in range(rows)]
         return out
 
+    return sets
+
+
+def _folded(marks: np.ndarray) -> np.ndarray:
+    half = marks.shape[1] // 2
+    return marks[:, :half] ^ marks[:, half:]
+
+
+def near_by_marks(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, marks: list[np.ndarray], part: int, whole: int) -> list[np.ndarray]:
+    """Arrays of pairs (a, b) with different labels that may be linked by their sizes and bitmaps."""
+    order = np.argsort([len(m) for m in marks], kind="stable")
+    ids, labels, sizes = ids[order], labels[order], sizes[order]
+    words = np.array([len(marks[i]) for i in order])
+    out = []
+    for many in np.unique(words):
+        mine = np.flatnonzero(words == many)
+        bits = np.stack([marks[order[i]] for i in mine])
+        # Sets of sizes that can link differ by less than a factor of two, so one folding makes their bitmaps equally long.
+        twice = np.flatnonzero(words == 2 * many)
+        others, all_bits = mine, bits
+        if len(twice):
+            others = np.concatenate([mine, twice])
+            all_bits = np.concatenate([bits, _folded(np.stack([marks[order[i]] for i in twice]))])
+        for k, i in enumerate(mine):
+            at = np.arange(k + 1, len(others))
+            j = others[at]
+            ok = (labels[j] != labels[i]) & (whole * np.minimum(sizes[j], sizes[i]) >= part * np.maximum(sizes[j], sizes[i]))
+            at, j = at[ok], j[ok]
+            if not len(j):
+                continue
+            apart = np.bitwise_count((all_bits[at] ^ bits[k]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            both = sizes[j] + sizes[i]
+            near = j[(whole + part) * ((both - apart) // 2) >= part * both]
+            if len(near):
+                out.append(np.stack([np.minimum(ids[near], ids[i]), np.maximum(ids[near], ids[i])]))
+    return out
+
+
+def _near(part: int, whole: int):
+    """a, b of the pairs in each block that may be linked; rows of one block stand in a row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                p = batch.column("p").to_numpy()
-                new = np.concatenate([[True], p[1:] != p[:-1]])
-                pivots, turn = sets(batch.column("text_p").take(pa.array(np.flatnonzero(new)))), np.cumsum(new) - 1
-                shared = np.zeros(len(p), np.int64)
-                for i, own in enumerate(sets(batch.column("text_x"))):
-                    other = pivots[turn[i]]
-                    place = np.searchsorted(other, own)
-                    place[place == len(other)] = 0
-                    shared[i] = np.count_nonzero(other[place] == own) if len(other) else 0
-                yield pa.record_batch({"x": batch.column("x"), "p": batch.column("p"), "shared": pa.array(shared)})
+        block, held, out = None, [], []
 
-    return run
-
-
-def _apart(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """pairs with `apart`, the number of bits in which x and p differ."""
-    def level(mine: str, other: str):
-        half = F.floor(F.size(mine) / 2).cast("int")
-        folded = F.zip_with(F.slice(mine, F.lit(1), half), F.slice(mine, half + 1, half), lambda a, b: a.bitwiseXOR(b))
-        return F.when(F.size(mine) > F.size(other), folded).otherwise(F.col(mine))
-
-    # Sets of sizes that can link differ by less than a factor of two, so one folding makes their bitmaps equally long.
-    differ = F.aggregate(F.zip_with(level("marks_x", "marks_p"), level("marks_p", "marks_x"),
-                                    lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    named = lambda id_: marks.select(F.col("doc_id").alias(id_), F.col("marks").alias(f"marks_{id_}"))
-    return pairs.join(named("x"), "x").join(named("p"), "p").withColumn("apart", differ.cast("long")).drop("marks_x", "marks_p")
-
-
-def _measured(pairs: DataFrame, marks: DataFrame, texts: DataFrame, width: int, part: int, whole: int, rows: int) -> DataFrame:
-    """x, p, shared, exact of pairs (x, p, n, n_p, wide): what the sets share, or the most they can (not exact).
-
-    Exact are the pairs that may be linked by their bitmaps, and wide pairs that may be within twice the radius. Texts lie
-    in buckets by id, so only the narrow pairs move to them; then both texts of a pair meet in a group of one
-    pivot and a salt of x, so that a pivot of many members fills no task.
-    """
-    most, both = F.floor((F.col("n") + F.col("n_p") - F.col("apart")) / 2), F.col("n") + F.col("n_p")
-    near = (whole + part) * most >= part * both
-    wide = F.col("wide") & (whole * (both - 2 * most) <= 2 * (whole - part) * (both - most))
-    bounded = stored(_apart(pairs, marks).select("x", "p", most.alias("shared"), (near | wide).alias("exact")), "apart", rows)
-    exact = _overlaps_of(bounded.where("exact").select("x", "p"), texts, width)
-    return bounded.where("not exact").unionAll(exact.withColumn("exact", F.lit(True)))
+        def ended() -> list[np.ndarray]:
+            if sum(len(x) for x, _, _, _ in held) < 2:
+                return []
+            ids, labels, sizes = (np.concatenate([h[i] for h in held]) for i in range(3))
+            return near_by_marks(ids, labels, sizes, [m for h in held for m in h[3]], part, whole)
 
+        def rows(found: list[np.ndarray]) -> pa.RecordBatch:
+            pairs = np.concatenate(found, axis=1)
+            return pa.record_batch({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
 
-def _overlaps_of(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)))
-    left = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text_x")), "x")
-    right = pairs.select("p", "salt").distinct().join(
-        texts.select(F.col("doc_id").alias("p"), F.col("text").alias("text_p")), "p")
-    rows = left.join(right, ["p", "salt"]).select("x", "p", "text_x", "text_p")
-    found = rows.mapInArrow(_overlaps(width), "x long, p long, shared long")
-    return found.groupBy("x", "p").agg(F.max("shared").alias("shared"))  # an id may stand in several rows
+        for batch in batches:
+            key, x, label, n = (batch.column(c).to_numpy() for c in ("block", "x", "label", "n"))
+            marks = batch.column("marks")
+            bits, ends = marks.flatten().to_numpy(), np.cumsum(marks.value_lengths().to_numpy())
+            starts = np.concatenate([[0], ends[:-1]])
+            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+            for first, last in zip([0, *cuts], [*cuts, len(key)]):
+                if key[first] != block:
+                    out += ended()
+                    block, held = key[first], []
+                held.append((x[first:last], label[first:last], n[first:last], [bits[starts[i]:ends[i]] for i in range(first, last)]))
+            if out:
+                yield rows(out)
+                out = []
+        out += ended()
+        if out:
+            yield rows(out)
 
+    return run
 
-def _with_common_pivots(near: DataFrame, large: Column, rows: int) -> DataFrame:
-    """near with one pivot for as many large regions as possible, so that a document is measured to few pivots.
 
-    A pivot is a point of reference and need not be in the region. Each document of large regions names the first, in
-    hash order, of their pivots; a region takes the one that most of its members name.
-    """
-    near = stored(near, "near", rows)
-    many = near.where(large)
-    first = F.min(F.struct(F.xxhash64("p"), "p", "n_p")).over(Window.partitionBy("x"))  # a document's own regions
-    votes = many.select("s", first.alias("first")).groupBy("s", F.struct("first.p", "first.n_p").alias("own")).agg(
-        F.count(F.lit(1)).alias("votes"))
-    common = votes.groupBy("s").agg(F.max_by("own", F.struct("votes", "own")).alias("own"))
-    return near.join(common, "s", "left").withColumn("p", F.coalesce("own.p", "p")).withColumn(
-        "n_p", F.coalesce("own.n_p", "n_p")).drop("own")
+def _regions(heads: DataFrame, part: int, whole: int) -> DataFrame:
+    """b, x, n, left, members of the regions in which two members may be linked; of regions with the same members one is left."""
+    sums = lambda *c: F.sum(F.xxhash64(*c).bitwiseAND(F.lit(_PART)))
+    dealt = heads.repartition("s")  # counts and members come from one shuffle
+    # Of a pair's regions the first in the order leaves at most the shingles from there on to share. A region of two that
+    # could not be the first of a linked pair has nothing to do.
+    counted = dealt.groupBy("s").agg(
+        F.count(F.lit(1)).alias("members"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("left").alias("least"),
+        F.sum("n").alias("both"), sums("x").alias("s1"), sums(F.lit(7), "x").alias("s2")).where(
+        (F.col("members") > 2) | (F.col("members") == 2) & (whole * F.col("low") >= part * F.col("high")) & (
+            (whole + part) * F.col("least") >= part * F.col("both"))).select("s", "members", "s1", "s2")
+    rows = stored(dealt.join(counted, "s"), "regions")
+    one = rows.groupBy("members", "s1", "s2").agg(F.min("s").alias("s")).select("s")
+    return stored(rows.join(one, "s").select(F.col("s").alias("b"), "x", "n", "left", "members"), "open")
 
 
 def ngram_jaccard(documents: DataFrame, width: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
@@ -231,74 +242,24 @@ def ngram_jaccard(documents: DataFrame, width: int = 5, part: int = 80, whole: i
     heads = prints.where("n_shingles > 0").join(reps, ["doc_id", "n_shingles"]).select(
         F.posexplode("head").alias("pos", "s"), F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"))
     heads = heads.select("s", "x", "n", (F.col("n") - F.col("pos")).alias("left"))
-    size = F.count(F.lit(1)).alias("members")
-    shared = heads.groupBy("s").agg(size).where("members > 1").select("s")
-    region = stored(heads.join(shared, "s").withColumn("outer", F.lit(True)), "shared")
-    n_region = region.count()
-    # Of a pair's regions the first in the order leaves at most the shingles from there on to share. A region of two that
-    # could not be the first of a linked pair has nothing to do.
-    open_regions = region.groupBy("s").agg(
-        size, F.min("n").alias("low"), F.max("n").alias("high"), F.min("left").alias("left"), F.sum("n").alias("both"),
-        F.min("x").alias("x"), F.max("x").alias("p"))
-    open_regions = stored(open_regions.where((F.col("members") > 2) | (whole * F.col("low") >= part * F.col("high")) & (
-        (whole + part) * F.col("left") >= part * F.col("both"))), "open", n_region)
-    marks = stored(prints.where("n_shingles > 0").select("doc_id", "n_shingles", "marks").join(reps, ["doc_id", "n_shingles"])
-                   .select("doc_id", "marks"), "marks")
-    near_two = _apart(open_regions.where("members = 2").select("x", "p", "both").distinct(), marks).where(
-        (whole + part) * (F.col("both") - F.col("apart")) >= 2 * part * F.col("both")).select("x", "p")
-    still = open_regions.where("members > 2").select("s").unionAll(
-        open_regions.where("members = 2").join(near_two, ["x", "p"]).select("s"))
-    region = stored(region.join(still, "s"), "regions", n_region)
-    wanted = region.select(F.col("x").alias("doc_id")).distinct()
-    texts = bucketed(docs.join(wanted, "doc_id", "left_semi"), "doc_id", "texts")
-    links = None
-    rank = F.struct(~F.col("outer"), F.xxhash64("x"), "x", "n", "left")
-    # Sizes, and what is left from the region's shingle on if it is the first that both share. A pair that fails is not
-    # linked or has its first region elsewhere; its distance then counts as the least that the sizes allow.
-    sizes_fit = whole * F.least("n", "n_p") >= part * F.greatest("n", "n_p")
-    could_link = sizes_fit & (
-        (whole + part) * F.least("left", "left_p") >= part * (F.col("n") + F.col("n_p")))
-    for level in range(PIVOT_LEVELS):
-        pivots = region.groupBy("s").agg(size, F.min(rank).alias("first")).where("members > 1").select(
-            "s", "members", F.col("first.x").alias("p"), F.col("first.n").alias("n_p"), F.col("first.left").alias("left_p"))
-        n_region = region.count()
-        large = F.col("members") > LARGE
-        near = stored(_with_common_pivots(region.drop("label").join(pivots, "s"), large, n_region), f"level{level}", n_region)
-        asked = near.where((F.col("x") != F.col("p")) & sizes_fit & (could_link | large)).groupBy("x", "p", "n", "n_p").agg(
-            F.max(large).alias("wide"))
-        measured = _measured(asked, marks, texts, width, part, whole, n_region)
-        union, exact = F.col("n") + F.col("n_p") - F.col("shared"), F.coalesce("exact", F.lit(False))
-        far = near.where("x <> p").join(measured, ["x", "p"], "left").select(
-            "s", "x", "p", "n", "left", (exact & (whole * F.col("shared") >= part * union)).alias("linked"),
-            F.coalesce(1 - F.col("shared") / union, 1 - F.least("n", "n_p") / F.greatest("n", "n_p")).alias("least_d"),
-            F.when(exact, 1 - F.col("shared") / union).otherwise(F.lit(1.0)).alias("most_d"))
-        far = stored(far, f"far{level}", n_region)
-        new = far.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
-        links = new if links is None else links.unionAll(new)
-        labels = component_labels(links)
-        for id_ in ("x", "p"):
-            far = far.join(labels.select(F.col("doc_id").alias(id_), F.col("label").alias(f"label_{id_}")), id_, "left").withColumn(
-                f"label_{id_}", F.coalesce(f"label_{id_}", id_))
-        # Members that are not connected with the pivot stay; those that are stay if a link to one of them is possible.
-        outer = F.col("label_x") != F.col("label_p")
-        outside = far.where(outer).groupBy("s").agg(F.min("least_d").alias("d_out"))
-        # A little slack on the window keeps rounding from closing it.
-        open_ = outer | (F.col("most_d") >= F.col("d_out") - (whole - part) / whole - 1e-9)
-        region = stored(far.join(outside, "s").where(open_).select(
-            "s", "x", "n", "left", F.col("label_x").alias("label"), outer.alias("outer")), "regions", n_region)
-        if (region.groupBy("s").agg(size).agg(F.max("members")).first()[0] or 0) <= SMALL:
-            break
-    other = region.select("s", F.col("x").alias("p"), F.col("n").alias("n_p"), F.col("left").alias("left_p"),
-                          F.col("label").alias("label_p"))
-    pairs = region.join(other, "s").where(
-        (F.col("x") < F.col("p")) & (F.col("label") != F.col("label_p"))
-        & could_link).select("x", "p", "n", "n_p", F.lit(False).alias("wide")).distinct()
-    pairs = stored(pairs, "pairs")
-    found = pairs.join(_measured(pairs, marks, texts, width, part, whole, pairs.count()), ["x", "p"])
-    more = found.where(whole * F.col("shared") >= part * (F.col("n") + F.col("n_p") - F.col("shared"))).select(
-        F.col("p").alias("a"), F.col("x").alias("b"))
-    # What the levels have connected stands for its documents: only links between their labels are new.
-    final = component_labels(labels.where("doc_id <> label").select(F.col("label").alias("a"), F.col("doc_id").alias("b")).unionAll(more))
+    regions = _regions(heads, part, whole)
+    sets = _text_sets(width)
+    # Each document with its text in the region of its first shared shingle.
+    first = regions.groupBy("x").agg(F.max(F.struct("left", "b", "n")).alias("f")).select("x", "f.b", "f.n")
+    size = first.groupBy("b").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    labels = near_pairs.components(stored(first.join(size, "b"), "first"), docs, sets, part, whole)
+    # Everything else by bitmaps, then what may be linked by text: a document with those of larger ids.
+    rest = near_pairs.unconnected(near_pairs.labelled(regions.select("b", "x", "n"), labels))
+    marks = prints.where("n_shingles > 0").select("doc_id", "n_shingles", "marks").join(reps, ["doc_id", "n_shingles"]).select(
+        F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), "marks")
+    met = near_pairs.in_pairs(rest, SMALL).join(marks, ["x", "n"]).select("block", "x", "label", "n", "marks").repartition(
+        "block").sortWithinPartitions("block")
+    near = stored(stored(met.mapInArrow(_near(part, whole), "a long, b long"), "near").distinct(), "pairs")
+    stars = near.groupBy("a").agg((F.count(F.lit(1)) + 1).alias("members"))
+    pairs = near.join(stars, "a").select(F.col("a").alias("b"), F.col("b").alias("x"), "members").unionAll(
+        stars.select(F.col("a").alias("b"), F.col("a").alias("x"), "members")).join(
+        reps.groupBy(F.col("doc_id").alias("x")).agg(F.max("n_shingles").alias("n")), "x")
+    final = near_pairs.components(stored(pairs.select("b", "x", "n", "members"), "stars"), docs, sets, part, whole, labels)
     component = final.select(F.col("doc_id").alias("rep"), F.col("label").alias("component"))
     return members.join(component, "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ladingcheck.llm import minhash_dedup, near_pairs
+from ladingcheck.llm import minhash_dedup, near_pairs, ngram_jaccard
 from tests.llm.test_documents import brute_components, edited, frame, sentence, shingle_sets
 
 
@@ -84,3 +84,24 @@ def test_links_within_a_block():
     ids = np.arange(len(texts))
     assert sorted({frozenset(x) for x in near_pairs.links_within(ids, ids, sets, 85, 100)}, key=sorted) == [{0, 1}, {0, 3}]
     assert near_pairs.links_within(ids, ids * 0, sets, 85, 100) == []
+
+
+def test_bitmaps_lose_no_pair_that_may_be_linked():
+    """Bitmaps of one length and of two; negative words count their bits as well."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (40, 900, 1020, 2040, 2050):
+        own = np.unique(rng.integers(0, 2**58, n, dtype=np.uint64))
+        sets += [own, own[:-max(1, n // 20)], np.unique(rng.integers(0, 2**58, n, dtype=np.uint64))]
+    marks = []
+    for own in sets:
+        bits = max(ngram_jaccard.BITMAP, 1 << len(own).bit_length() >> 1)
+        odd = np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+        marks.append(np.packbits(odd.astype(bool)).view(np.int64))
+    ids, sizes = np.arange(len(sets)), np.array([len(s) for s in sets])
+    found = {(int(a), int(b)) for pairs in ngram_jaccard.near_by_marks(ids, ids, sizes, marks, 85, 100) for a, b in pairs.T}
+    shared = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    want = {(i, j) for j in ids for i in range(j) if 100 * shared(i, j) >= 85 * (sizes[i] + sizes[j] - shared(i, j))}
+    assert len(want) >= 5 and want <= found
+    assert len(found) < 20
+    assert ngram_jaccard.near_by_marks(ids, ids * 0, sizes, marks, 85, 100) == []
