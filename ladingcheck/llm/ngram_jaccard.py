@@ -137,8 +137,12 @@ def _folded(marks: np.ndarray) -> np.ndarray:
     return marks[:, :half] ^ marks[:, half:]
 
 
-def near_by_marks(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, marks: list[np.ndarray], part: int, whole: int) -> list[np.ndarray]:
-    """Arrays of pairs (a, b) with different labels that may be linked by their sizes and bitmaps."""
+def near_by_marks(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, marks: list[np.ndarray], part: int, whole: int,
+                  before: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """Arrays of pairs (a, b) with different labels that may be linked by their sizes and bitmaps.
+
+    before: the regions that come before this one for each member; pairs that share one of them are left to it.
+    """
     order = np.argsort([len(m) for m in marks], kind="stable")
     ids, labels, sizes = ids[order], labels[order], sizes[order]
     words = np.array([len(marks[i]) for i in order])
@@ -162,37 +166,48 @@ def near_by_marks(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, marks:
             apart = np.bitwise_count((all_bits[at] ^ bits[k]).view(np.uint64)).sum(axis=1, dtype=np.int64)
             both = sizes[j] + sizes[i]
             near = j[(whole + part) * ((both - apart) // 2) >= part * both]
+            if before is not None and len(near) and len(mine_before := before[order[i]]):
+                theirs = [before[order[x]] for x in near]
+                met = np.isin(np.concatenate(theirs), mine_before)
+                turn = np.repeat(np.arange(len(near)), [len(x) for x in theirs])
+                near = near[np.bincount(turn[met], minlength=len(near)) == 0]
             if len(near):
                 out.append(np.stack([np.minimum(ids[near], ids[i]), np.maximum(ids[near], ids[i])]))
     return out
 
 
 def _near(part: int, whole: int):
-    """a, b of the pairs in each block that may be linked; rows of one block stand in a row."""
+    """a, b of the pairs in each block that may be linked, in the first region that both are in; rows of one block stand in a row."""
+    def lists(column: pa.Array) -> list[np.ndarray]:
+        ends = np.cumsum(column.value_lengths().to_numpy())
+        return np.split(column.flatten().to_numpy(), ends[:-1])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, out = None, [], []
 
         def ended() -> list[np.ndarray]:
-            if sum(len(x) for x, _, _, _ in held) < 2:
+            if sum(len(h[0]) for h in held) < 2:
                 return []
             ids, labels, sizes = (np.concatenate([h[i] for h in held]) for i in range(3))
-            return near_by_marks(ids, labels, sizes, [m for h in held for m in h[3]], part, whole)
+            marks, before = ([x for h in held for x in h[i]] for i in (3, 4))
+            return near_by_marks(ids, labels, sizes, marks, part, whole, before)
 
         def rows(found: list[np.ndarray]) -> pa.RecordBatch:
             pairs = np.concatenate(found, axis=1)
             return pa.record_batch({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
 
         for batch in batches:
-            key, x, label, n = (batch.column(c).to_numpy() for c in ("block", "x", "label", "n"))
-            marks = batch.column("marks")
-            bits, ends = marks.flatten().to_numpy(), np.cumsum(marks.value_lengths().to_numpy())
-            starts = np.concatenate([[0], ends[:-1]])
+            if not batch.num_rows:
+                continue
+            key, b, x, label, n = (batch.column(c).to_numpy() for c in ("block", "b", "x", "label", "n"))
+            marks, regions = lists(batch.column("marks")), lists(batch.column("regions"))
+            before = [r[r < own] for r, own in zip(regions, b)]
             cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
             for first, last in zip([0, *cuts], [*cuts, len(key)]):
                 if key[first] != block:
                     out += ended()
                     block, held = key[first], []
-                held.append((x[first:last], label[first:last], n[first:last], [bits[starts[i]:ends[i]] for i in range(first, last)]))
+                held.append((x[first:last], label[first:last], n[first:last], marks[first:last], before[first:last]))
             if out:
                 yield rows(out)
                 out = []
@@ -249,10 +264,11 @@ def ngram_jaccard(documents: DataFrame, width: int = 5, part: int = 80, whole: i
     size = first.groupBy("b").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     labels = near_pairs.components(stored(first.join(size, "b"), "first"), docs, sets, part, whole)
     # Everything else by bitmaps, then what may be linked by text: a document with those of larger ids.
-    rest = near_pairs.unconnected(near_pairs.labelled(regions.select("b", "x", "n"), labels))
+    rest = stored(near_pairs.unconnected(near_pairs.labelled(regions.select("b", "x", "n"), labels)), "rest")
+    own = rest.groupBy("x", "n").agg(F.collect_set("b").alias("regions"))  # as many as a head has shingles at most
     marks = prints.where("n_shingles > 0").select("doc_id", "n_shingles", "marks").join(reps, ["doc_id", "n_shingles"]).select(
-        F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), "marks")
-    met = near_pairs.in_pairs(rest, SMALL).join(marks, ["x", "n"]).select("block", "x", "label", "n", "marks").repartition(
+        F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), "marks").join(own, ["x", "n"])
+    met = near_pairs.in_pairs(rest, SMALL).join(marks, ["x", "n"]).select("block", "b", "x", "label", "n", "marks", "regions").repartition(
         "block").sortWithinPartitions("block")
     near = stored(stored(met.mapInArrow(_near(part, whole), "a long, b long"), "near").distinct(), "pairs")
     stars = near.groupBy("a").agg((F.count(F.lit(1)) + 1).alias("members"))

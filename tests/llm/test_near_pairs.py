@@ -105,3 +105,14 @@ def test_bitmaps_lose_no_pair_that_may_be_linked():
     assert len(want) >= 5 and want <= found
     assert len(found) < 20
     assert ngram_jaccard.near_by_marks(ids, ids * 0, sizes, marks, 85, 100) == []
+
+
+def test_a_pair_counts_in_its_first_common_region_only():
+    """Members that share an earlier region are left to it; without that every region made the pair again."""
+    rng = np.random.default_rng(6)
+    own = np.unique(rng.integers(0, 2**58, 300, dtype=np.uint64))
+    odd = np.bincount((own % np.uint64(1024)).astype(np.int64), minlength=1024) & 1
+    marks, ids = [np.packbits(odd.astype(bool)).view(np.int64)] * 4, np.arange(4)
+    before = [np.array(x, np.int64) for x in ([5, 9], [9], [], [7])]
+    found = {(int(a), int(b)) for pairs in ngram_jaccard.near_by_marks(ids, ids, np.full(4, 300), marks, 85, 100, before) for a, b in pairs.T}
+    assert found == {(0, 2), (0, 3), (1, 2), (1, 3), (2, 3)}
