@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ladingcheck.operators import blocks, ground
-from ladingcheck.functions import text
+from ladingcheck.functions import matching, numbers, text
 
 
 def _plan(df):
@@ -108,3 +108,49 @@ def test_words_of_a_pattern_are_in_its_matches(spark):
     # The same scores as the form for other texts, which searches for every pattern.
     scored = row.select(blocks.role_scores(F.col("t")).alias("a"), blocks.role_scores(F.concat("t", F.lit("\n毛"))).alias("b"))
     assert [r for r in scored.collect() if r.a != r.b] == []
+
+
+def test_blocks_are_cut_without_a_second_search(spark):
+    texts = ["", "\n\nA: b\n  c\n\nplain\n====\nDé : f:g\xa0\n", "no label\n\n", "x: \n" * 3, "Ship\xa0: y\n---\nz"]
+    spans = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        "text", blocks.label_spans(F.col("text")).alias("s"))
+    assert "locate(" not in _plan(spans)
+    got = {r["text"]: r["s"] for r in spans.collect()}
+    assert [[(s["label"], s["value"]) for s in got[t]] for t in texts] == [
+        [], [("A", "b\n  c"), ("Dé", "f:g\xa0")], [], [("x", "")] * 3, [("Ship", "y")]]
+    for t in texts:
+        for s in got[t]:
+            assert t[s["value_start"]:s["value_end"]] == s["value"]
+            assert t[s["label_start"]:s["label_end"]].strip() == s["label"]
+
+
+def test_a_quote_is_looked_for_without_an_exception(spark):
+    rows = spark.createDataFrame(
+        [("a", ["b", "a"]), ("a", ["b"]), ("a", ["b", None]), (None, ["a"]), ("a", None), (None, [])], "q string, t array<string>")
+    said = rows.select(ground.quote_supported(F.col("q"), F.lit("text_range"), F.col("t")).alias("s"))
+    assert "array_contains" not in _plan(said)
+    assert [r["s"] for r in said.collect()] == [True, False, None, None, None, None]
+
+
+def test_first_letters_are_those_of_the_patterns(spark):
+    texts = ["Shipping Instructions", "shipment instruction", "B/L instructions", "bl instruction", "Booking instruction",
+             "draft Bill of Lading", "bl draft", "Ocean bill of lading", "house bill of lading", "sea waybill",
+             "Commercial invoice", "packing list", "Insurance certificate", "Debit note", "delivery order", "booking ref",
+             "oc no", "shipping mark", "Kinds of packages", "B/L no", "export carrier", "On board date", "freight collect",
+             "never a sea waybill", "NOTIFY of a sea waybill", "isn't a packing list"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    for pattern, first in blocks._FIRST.items():
+        same = frame.filter(F.regexp_count("text", F.lit(matching.plain_form(pattern)))
+                            != F.regexp_count("text", F.lit(blocks._plain_search(pattern, first))))
+        assert same.count() == 0
+    scored = frame.select(blocks.role_scores(F.col("text")).alias("s"))
+    assert [tuple(r["s"]) for r in scored.collect()][-3:] == [(0.0, 0.0, 0.0), (0.0, 4.0, 0.0), (0.0, 0.0, 0.0)]
+
+
+def test_grouped_numbers_are_found_as_before(spark):
+    values = ["1,234.5 x 1.234,5", "1,234,567", "１,234,567", "12.345.678", "1,23", "", None]
+    got = spark.createDataFrame([(v,) for v in values], "x string").select(
+        numbers.grouped_tokens(F.col("x")).alias("t"), numbers.document_convention(F.col("x")).alias("c")).collect()
+    assert [(list(r["t"]["en"]), list(r["t"]["eu"]), r["c"]) for r in got] == [
+        (["1,234.5"], ["1.234,5"], ""), (["1,234,567"], [], "en"), (["1,234,567"], [], "en"), ([], ["12.345.678"], "eu"),
+        ([], [], ""), ([], [], ""), ([], [], "")]
